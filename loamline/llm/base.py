@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -55,6 +56,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps now, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def arrow_map(df: DataFrame, rows: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over slices of SLICE_ROWS rows. ``rows()`` runs once a task and returns the function
     from columns (name to list) to columns."""
