@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, simhash, substrings, tokens, toxicity, urls
+from . import decontaminate, media, mixing, pii, quality, simhash, substrings, tokens, toxicity, urls
 from .base import table
 
 #: Fixed value: the rules of the URL query.
@@ -49,6 +49,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.image_copies(media.pictures(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_source_mix": op5_source_mix,
     "op6_toxicity": op6_toxicity,
+    "op7_image_copies": op7_image_copies,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
