@@ -18,8 +18,11 @@ HEADER = {
     "god_class_count": "long", "god_class_percentage": "double", "average_gcs": "double",
 }
 CHILDREN = ("hotspot_files", "knowledge_files", "coupling_pairs", "file_pain", "anemic_classes", "complexity_functions", "cluster_summaries", "cluster_drift", "effort_files", "dx_cognitive_files", "god_class_classes")
-#: What compare() reports of two runs, b less a.
-DELTAS = ("total_commits", "file_count", "developer_risk_index", "knowledge_island_count", "coupling_pair_count", "anemic_percentage", "avg_complexity", "silhouette_score", "dx_score", "average_gcs")
+#: What compare() reports of two runs, b less a: name and column.
+DELTAS = {
+    "dx_score": "dx_score", "dx_throughput": "dx_throughput", "dx_feedback_delay": "dx_feedback_delay", "dx_focus_ratio": "dx_focus_ratio", "dx_cognitive_load": "dx_cognitive_load",
+    "complexity_avg": "avg_complexity", "anemic_anemic_pct": "anemic_percentage", "effort_model_r_squared": "effort_r_squared", "clustering_silhouette": "silhouette_score", "god_class_god_pct": "god_class_percentage",
+}
 
 
 class RunStore:
@@ -102,7 +105,7 @@ class RunStore:
         for x in (a, b):
             if x not in self.committed():
                 raise KeyError(x)
-        left, right = (self.runs().where(F.col("run_id") == x).select(*(F.col(c).alias(f"{s}_{c}") for c in ("run_id", *DELTAS))) for s, x in (("a", a), ("b", b)))
+        left, right = (self.runs().where(F.col("run_id") == x).select(*(F.col(c).alias(f"{s}_{c}") for c in ("run_id", *DELTAS.values()))) for s, x in (("a", a), ("b", b)))
         gap = lambda c: F.round((F.coalesce(f"b_{c}", F.lit(0)) - F.coalesce(f"a_{c}", F.lit(0))).cast("double"), 6)
-        entries = F.create_map(*(x for c in DELTAS for x in (F.lit(c), gap(c))))
+        entries = F.create_map(*(x for name, c in DELTAS.items() for x in (F.lit(name), gap(c))))
         return left.join(right).select(F.col("a_run_id").alias("run_a"), F.col("b_run_id").alias("run_b"), entries.alias("deltas"))
