@@ -23,7 +23,7 @@ from .labelled import fold, held_out, sample
 FIT_ROWS = 20_000
 #: Learned lexicon: size, least toxic rows with the word, least share of toxic rows, least log odds.
 LEARNED, LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 256, 4, 0.004, 3.0
-TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 3, 0.2, 32, 20
+TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 3, 0.2, 32, 5
 #: Words before and after a hit that count as near.
 NEAR = 5
 STRETCH = 50
