@@ -174,22 +174,35 @@ def similar(docs: DataFrame, shingle: int = 5, family: int = FAMILY, share: floa
     first = cut(prints.where(F.col("fp") != blank).groupBy("fp").agg(F.min("id").alias("node")))
     tables = tables_for(first.count(), 4)
     word = lambda fp, k: F.conv(F.hex(F.substring(fp, 8 * k + 1, 8)), 16, -10).cast("long")
-    words = first.select("node", F.array(*(word(F.col("fp"), k) for k in range(family))).alias("words"))
+    words = first.select("node", F.col("node").alias("part"), F.array(*(word(F.col("fp"), k) for k in range(family))).alias("words"))
+    # The first hashes' keys link nearly all members of large groups; the other hashes then meet across
+    # parts only, so that no group's pairs are verified over and over.
+    early = max(1, family // 4)
+    parts = cut(connected_components(_verified(words, range(early), tables, family, share)))
+    grouped = words.select("node", "words").join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    if early < family:
+        joined = cut(connected_components(_verified(grouped, range(early, family), tables, family, share))).toDF("part", "whole")
+        grouped = grouped.join(joined, "part", "left").withColumn("part", F.coalesce("whole", "part"))
+    of = first.join(grouped.select("node", F.col("part").alias("component_id")), "node").select(F.col("fp").alias("print"), "component_id")
+    return prints.join(of, prints["fp"] == of["print"], "left").select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def _verified(words: DataFrame, hashes: range, tables: list[int], family: int, share: float) -> DataFrame:
+    """Edges (a, b) between parts: pairs of nodes of different parts that meet in a key of these hashes
+    and differ in few enough bits over the whole family. words: node, part, words."""
     masks = F.array(*(F.lit(signed(m)) for m in tables))
-    keyed = words.select("node", F.posexplode("words").alias("k", "fp")).select("node", "k", "fp", F.posexplode(masks).alias("t", "mask"))
-    keyed = keyed.select("node", "fp", F.xxhash64("k", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    met = keyed.select("node", "fp", F.struct("node", "fp").alias("own"), F.first(F.struct("node", "fp")).over(order).alias("head"), F.lag(F.struct("node", "fp")).over(order).alias("before"))
-    pairs = met.select("node", "fp", F.explode(F.array("head", "before")).alias("other")).where("other is not null and other.node <> node")
+    chosen = F.array(*(F.struct(F.lit(k).alias("k"), F.col("words")[k].alias("fp")) for k in hashes))
+    keyed = words.select("node", "part", F.explode(chosen).alias("h")).select("node", "part", "h.k", "h.fp", F.posexplode(masks).alias("t", "mask"))
+    keyed = keyed.select(F.struct("node", "part", "fp").alias("own"), F.xxhash64("k", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "own.node"), "own.node")
+    met = keyed.select("own", F.first("own").over(order).alias("head"), F.lag("own").over(order).alias("before"))
+    pairs = met.select("own", F.explode(F.array("head", "before")).alias("other")).where("other is not null and other.part <> own.part")
     # The key's own 64 bits settle most chance meetings: far pairs differ in about half of the rest.
-    near = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other.fp"))) <= 18)
-    edges = near.select(F.greatest("node", "other.node").alias("a"), F.least("node", "other.node").alias("b")).distinct()
-    x, y = words.select(F.col("node").alias("a"), F.col("words").alias("wa")), words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-    apart = sum(F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k])) for k in range(family))
-    links_ = edges.join(x, "a").join(y, "b").where(apart <= int(share * BITS * family)).select("a", "b")
-    parts = cut(connected_components(links_))
-    of = first.join(parts, "node", "left").select(F.col("fp").alias("print"), F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, prints["fp"] == of["print"], "left").select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
+    near = pairs.where(F.bit_count(F.col("own.fp").bitwiseXOR(F.col("other.fp"))) <= 18)
+    edges = near.select(F.greatest("own.node", "other.node").alias("x"), F.least("own.node", "other.node").alias("y")).distinct()
+    left, right = (words.select(F.col("node").alias(n), F.col("part").alias(p), F.col("words").alias(w)) for n, p, w in (("x", "a", "wx"), ("y", "b", "wy")))
+    apart = sum(F.bit_count(F.col("wx")[k].bitwiseXOR(F.col("wy")[k])) for k in range(family))
+    return edges.join(left, "x").join(right, "y").where(apart <= int(share * BITS * family)).select("a", "b")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
