@@ -147,6 +147,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
 #: sets of Jaccard similarity 0.8 share 8 of 9 shingles, so a bit differs with probability
 #: acos(8/9)/pi = 0.151; the limit leaves one standard deviation of 512 bits for chance.
 FAMILY, NEAR_SHARE = 8, 0.16
+#: Bits of a meeting's own fingerprint that may differ. At 0.8 the 43 that the key leaves free differ in
+#: 6.5 with a deviation of 2.3, so one meeting in four hundred is lost, and pairs have several.
+MEETING_BITS = 13
 
 
 def similar(docs: DataFrame, shingle: int = 5, family: int = FAMILY, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,21 +178,18 @@ def similar(docs: DataFrame, shingle: int = 5, family: int = FAMILY, share: floa
     tables = tables_for(first.count(), 4)
     word = lambda fp, k: F.conv(F.hex(F.substring(fp, 8 * k + 1, 8)), 16, -10).cast("long")
     words = first.select("node", F.col("node").alias("part"), F.array(*(word(F.col("fp"), k) for k in range(family))).alias("words"))
-    # The first hashes' keys link nearly all members of large groups; the other hashes then meet across
-    # parts only, so that no group's pairs are verified over and over.
-    early = max(1, family // 4)
-    parts = cut(connected_components(_verified(words, range(early), tables, family, share)))
-    grouped = words.select("node", "words").join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    if early < family:
-        joined = cut(connected_components(_verified(grouped, range(early, family), tables, family, share))).toDF("part", "whole")
-        grouped = grouped.join(joined, "part", "left").withColumn("part", F.coalesce("whole", "part"))
+    # One hash's keys link nearly all members of large groups; the other hashes then meet across parts
+    # only, so that no group's pairs are verified over and over.
+    grouped = words
+    for hashes in (range(1), range(1, family)):
+        joined = cut(connected_components(_verified(grouped, hashes, tables, family, share))).toDF("part", "whole")
+        grouped = grouped.join(joined, "part", "left").select("node", F.coalesce("whole", "part").alias("part"), "words")
     of = first.join(grouped.select("node", F.col("part").alias("component_id")), "node").select(F.col("fp").alias("print"), "component_id")
     return prints.join(of, prints["fp"] == of["print"], "left").select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _verified(words: DataFrame, hashes: range, tables: list[int], family: int, share: float) -> DataFrame:
-    """Edges (a, b) between parts: pairs of nodes of different parts that meet in a key of these hashes
-    and differ in few enough bits over the whole family. words: node, part, words."""
+def _meetings(words: DataFrame, hashes: range, tables: list[int]) -> DataFrame:
+    """(x, y): nodes of different parts that meet in a key of these hashes. words: node, part, words."""
     masks = F.array(*(F.lit(signed(m)) for m in tables))
     chosen = F.array(*(F.struct(F.lit(k).alias("k"), F.col("words")[k].alias("fp")) for k in hashes))
     keyed = words.select("node", "part", F.explode(chosen).alias("h")).select("node", "part", "h.k", "h.fp", F.posexplode(masks).alias("t", "mask"))
@@ -197,9 +197,13 @@ def _verified(words: DataFrame, hashes: range, tables: list[int], family: int, s
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "own.node"), "own.node")
     met = keyed.select("own", F.first("own").over(order).alias("head"), F.lag("own").over(order).alias("before"))
     pairs = met.select("own", F.explode(F.array("head", "before")).alias("other")).where("other is not null and other.part <> own.part")
-    # The key's own 64 bits settle most chance meetings: far pairs differ in about half of the rest.
-    near = pairs.where(F.bit_count(F.col("own.fp").bitwiseXOR(F.col("other.fp"))) <= 18)
-    edges = near.select(F.greatest("own.node", "other.node").alias("x"), F.least("own.node", "other.node").alias("y")).distinct()
+    near = pairs.where(F.bit_count(F.col("own.fp").bitwiseXOR(F.col("other.fp"))) <= MEETING_BITS)
+    return near.select(F.greatest("own.node", "other.node").alias("x"), F.least("own.node", "other.node").alias("y")).distinct()
+
+
+def _verified(words: DataFrame, hashes: range, tables: list[int], family: int, share: float) -> DataFrame:
+    """Edges (a, b) between parts: meetings that differ in few enough bits over the whole family."""
+    edges = _meetings(words, hashes, tables)
     left, right = (words.select(F.col("node").alias(n), F.col("part").alias(p), F.col("words").alias(w)) for n, p, w in (("x", "a", "wx"), ("y", "b", "wy")))
     apart = sum(F.bit_count(F.col("wx")[k].bitwiseXOR(F.col("wy")[k])) for k in range(family))
     return edges.join(left, "x").join(right, "y").where(apart <= int(share * BITS * family)).select("a", "b")
