@@ -175,7 +175,7 @@ class Sorter:
         at = np.flatnonzero(wanted)
         if since is None:
             if len(at):
-                order = np.argsort(c[at], kind="stable") if len(at) > 1 else np.zeros(1, np.int64)
+                order = np.argsort(c[at].astype(self.text.dtype), kind="stable")  # few values: a radix sort
                 chars, rows = c[at][order], pos[at][order] - 1
                 edges = np.concatenate(([0], np.flatnonzero(np.diff(chars)) + 1, [len(chars)]))
                 zero = np.zeros(len(rows), np.uint8)
@@ -264,8 +264,8 @@ class Sorter:
     def by_char(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Runs:
         out = Runs(self.folder, 0, self.held)
         for pos, lcp in blocks:
-            c = np.asarray(self.text[pos]).astype(np.int64)
-            order = np.argsort(c, kind="stable")
+            raw = np.asarray(self.text[pos])
+            c, order = raw.astype(np.int64), np.argsort(raw, kind="stable")
             edges = np.concatenate(([0], np.flatnonzero(np.diff(c[order])) + 1, [len(c)]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 out.push(int(c[order[a]]), pos[order[a:b]], lcp[order[a:b]])
@@ -276,15 +276,26 @@ class Sorter:
         out = np.zeros(len(a), np.int64)
         limit = np.minimum(limit, self.n - np.maximum(a, b))
         at = np.flatnonzero(limit > 0)
-        step = 8
+        if self.text.dtype == np.uint8 and self.n >= 8:
+            # Eight characters at a time, read as one number with the first character highest.
+            words = np.ndarray((self.n - 7,), ">u8", self.text.data, 0, (1,))
+            far = np.maximum(a, b)
+            while len(at := at[far[at] + out[at] < len(words)]):
+                differ = words[a[at] + out[at]].astype(np.uint64) ^ words[b[at] + out[at]].astype(np.uint64)
+                same = differ == 0
+                run = np.full(len(at), 8, np.int64)
+                # The highest bit that differs is in the first byte that does.
+                run[~same] = 7 - (np.frexp((differ[~same] >> np.uint64(8)).astype(np.float64))[1] + 7) // 8
+                high = differ[~same] >= np.uint64(1 << 56)
+                run[np.flatnonzero(~same)[high]] = 0
+                out[at] = np.minimum(out[at] + run, limit[at])
+                at = at[same & (out[at] < limit[at])]
+            at = np.flatnonzero((out < limit) & (far + out >= self.n - 7))
         while len(at):
-            x = a[at, None] + out[at, None] + np.arange(step)
-            y = b[at, None] + out[at, None] + np.arange(step)
-            differ = np.asarray(self.text[np.minimum(x, self.n - 1)]) != np.asarray(self.text[np.minimum(y, self.n - 1)])
-            differ |= np.arange(step) >= (limit[at] - out[at])[:, None]
-            run = np.where(differ.any(1), differ.argmax(1), step)
-            out[at] += run
-            at = at[(run == step) & (out[at] < limit[at])]
+            alike = np.asarray(self.text[a[at] + out[at]]) == np.asarray(self.text[b[at] + out[at]])
+            at = at[alike]
+            out[at] += 1
+            at = at[out[at] < limit[at]]
         return out
 
     def sorted_lms(self) -> np.ndarray:
@@ -305,7 +316,9 @@ class Sorter:
         order = np.concatenate(order)[::-1]
         # Names: equal substrings, from an LMS character to the next one, share one.
         length = np.append(np.diff(lms) + 1, self.n - lms[-1] + 1)
-        which = np.searchsorted(lms, order)
+        place = np.empty(self.n, np.int32 if m < 1 << 31 else np.int64)
+        place[lms] = np.arange(m)
+        which = place[order]
         mine = length[which]
         new = np.ones(m, bool)
         for i in range(1, m, BLOCK):
@@ -354,18 +367,25 @@ class Sorter:
 
 def doubled(string: np.ndarray, cap: int) -> np.ndarray:
     """Order of a name string's suffixes by their first names, as many as the cap's characters need (a
-    name stands for two characters at least); all of them if cap is 0."""
-    m = len(string)
-    rank, h = string.astype(np.int64) + 1, 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        top = int(rank.max())
-        if top == m or (cap and 2 * h > cap):
-            return np.argsort(rank, kind="stable")
-        right = np.zeros(m, np.int64)
-        right[: max(0, m - h)] = rank[h:]
-        key = rank * (top + 1) + right
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(m, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([True], np.diff(key[order]) != 0)))
+    name stands for two characters at least); all of them if cap is 0. Each round looks only at suffixes
+    that others still tie with."""
+    m, h = len(string), 1
+    order = np.argsort(string, kind="stable")
+    rank = np.empty(m, np.int64)  # place of the first suffix of the same first names
+    new = np.concatenate(([True], np.diff(string[order]) != 0))
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(m), 0))
+    while not cap or h < cap:
+        alone = new & np.append(new[1:], True)
+        at = np.flatnonzero(~alone)  # places in the order that are shared
+        if not len(at):
+            break
+        tied = order[at]
+        right = np.where(tied + h < m, rank[np.minimum(tied + h, m - 1)] + 1, 0)
+        by = np.argsort(rank[tied] * (m + 1) + right, kind="stable")
+        tied, right = tied[by], right[by]
+        order[at] = tied
+        split = np.concatenate(([True], (np.diff(right) != 0) | (np.diff(rank[tied]) != 0)))
+        new[at] = split
+        rank[tied] = at[np.maximum.accumulate(np.where(split, np.arange(len(at)), 0))]
         h *= 2
+    return order
