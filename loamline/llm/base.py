@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -58,8 +59,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps now, not when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    for _ in range(3):
+        gc.collect()
+        time.sleep(0.7)  # a thread tells the JVM, object by object, what Python has let go
+        spark.sparkContext._jvm.java.lang.System.gc()
+        time.sleep(0.3)  # and another removes the files of what the JVM found unused
 
 
 def arrow_map(df: DataFrame, rows: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
