@@ -66,11 +66,12 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (id, or the largest long for null), sum (of the text, for rows that share an id), text."""
+    """id, key (id, or the largest long for null), sum (0; of the text if rows share an id), text."""
     rows = pick(docs, id=id_col, text=text_col)
     if rows.schema["id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError("ids must be whole numbers: they say which copy is the earliest")
-    return rows.select("id", F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.xxhash64("text").alias("sum"), "text")
+    keyed = rows.select("id", F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.lit(0).cast("long").alias("sum"), "text")
+    return keyed.withColumn("sum", F.xxhash64("text")) if _has_repeated_rows(keyed) else keyed
 
 
 def _anchor_rows(length: int):
