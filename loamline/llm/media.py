@@ -95,16 +95,22 @@ def _png(raw: bytes) -> np.ndarray | None:
     return pixels[:, :, : 1 if depth < 3 else 3].mean(2, dtype=np.float32)
 
 
-def _sums(a: np.ndarray, r: int) -> np.ndarray:
-    """Sum over the square of radius r around each pixel; beyond the edge counts as 0."""
-    c = np.cumsum(np.cumsum(np.pad(a, ((r + 1, r), (r + 1, r))), 0), 1)
-    k = 2 * r + 1
-    return c[k:, k:] - c[:-k, k:] - c[k:, :-k] + c[:-k, :-k]
+def _framed(a: np.ndarray, r: int, value: float) -> np.ndarray:
+    out = np.full((a.shape[0] + 2 * r, a.shape[1] + 2 * r), value)
+    out[r:-r, r:-r] = a
+    return out
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Sum over the nine pixels around each; beyond the edge counts as 0."""
+    p = _framed(a, 1, 0.0)
+    rows = p[:-2] + p[1:-1] + p[2:]
+    return rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]
 
 
 def _peak(a: np.ndarray, r: int) -> np.ndarray:
     """Largest value in the square of radius r around each pixel."""
-    p = np.pad(a, r, constant_values=-np.inf)
+    p = _framed(a, r, -np.inf)
     rows = np.maximum.reduce([p[k : k + a.shape[0]] for k in range(2 * r + 1)])
     return np.maximum.reduce([rows[:, k : k + a.shape[1]] for k in range(2 * r + 1)])
 
@@ -130,13 +136,15 @@ def corners(image: np.ndarray | None) -> tuple[np.ndarray, ...]:
     # Doubles hold all sums of these quarters exactly, so a patch gives the same wherever it stands.
     image = None if image is None else np.floor(image).astype(np.float64)
     while image is not None and scale < SCALES and min(image.shape) >= 1:
-        p = np.pad(image, 1, mode="edge")
+        p = _framed(image, 1, 0.0)
+        p[0], p[-1] = p[1], p[-2]
+        p[:, 0], p[:, -1] = p[:, 1], p[:, -2]
         dx, dy = (p[1:-1, 2:] - p[1:-1, :-2]) / 2, (p[2:, 1:-1] - p[:-2, 1:-1]) / 2
-        xx, yy, xy = _sums(dx * dx, 1), _sums(dy * dy, 1), _sums(dx * dy, 1)
+        xx, yy, xy = _sums(dx * dx), _sums(dy * dy), _sums(dx * dy)
         response = xx * yy - xy * xy - 0.0625 * (xx + yy) ** 2
         y, x = np.nonzero((response >= _peak(response, 3)) & (response > LEAST_RESPONSE))
         if len(y):
-            p = np.pad(image, RADIUS, mode="constant", constant_values=128)
+            p = _framed(image, RADIUS, 128.0)
             patch = np.lib.stride_tricks.sliding_window_view(p, (2 * RADIUS + 1, 2 * RADIUS + 1))[y, x] - 128
             turn = np.rint(np.arctan2((patch * (DISC * _Y)).sum((1, 2)), (patch * (DISC * _X)).sum((1, 2))) * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
             a, b = FIRST_END[turn] + RADIUS, SECOND_END[turn] + RADIUS
@@ -154,18 +162,29 @@ def corners(image: np.ndarray | None) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([f[k] for f in found]) for k in range(5))
 
 
+#: Bits of a packed place: turn, x and y; the scale is above them.
+TURN_BITS, SIDE_BITS = 4, 24
+
+
 def _corner_rows(batches):
-    names = ["node", "scale", "x", "y", "turn", "w0", "w1", "w2", "w3"]
+    """One row a corner: the image, its place packed into one number, and the descriptor's words."""
+    names = ["node", "place", "w0", "w1", "w2", "w3"]
     for batch in batches:
         for i in range(0, batch.num_rows, 128):
             part = batch.slice(i, 128)
             got = [corners(decode(raw)) for raw in part.column(1).to_pylist()]
             counts = [len(g[0]) for g in got]
             if sum(counts):
-                cols = [np.concatenate([g[k] for g in got]) for k in range(5)]
-                small = [pa.array(c.astype(np.int32)) for c in cols[:4]]
-                words = [pa.array(cols[4][:, k].astype(np.uint32).view(np.int32)) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), counts)), *small, *words], names=names)
+                scale, x, y, turn, words = (np.concatenate([g[k] for g in got]) for k in range(5))
+                place = (((scale << SIDE_BITS | x) << SIDE_BITS | y) << TURN_BITS) | turn
+                cols = [pa.array(words[:, k].astype(np.uint32).view(np.int32)) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), counts)), pa.array(place), *cols], names=names)
+
+
+def _unpacked(place, what: str):
+    side = (1 << SIDE_BITS) - 1
+    shift = {"turn": 0, "y": TURN_BITS, "x": TURN_BITS + SIDE_BITS, "scale": TURN_BITS + 2 * SIDE_BITS}[what]
+    return F.shiftright(place, shift).bitwiseAND(F.lit((1 << TURN_BITS) - 1 if what == "turn" else side)).cast("int")
 
 
 def image_copies(media: DataFrame, id_col: str = "doc_id", image_col: str = "image") -> DataFrame:
@@ -178,35 +197,40 @@ def image_copies(media: DataFrame, id_col: str = "doc_id", image_col: str = "ima
     """
     rows = pick(media, id=id_col, image=image_col)
     digests = cut(rows.select("id", F.sha2("image", 256).alias("digest")))
-    named = rows.where("id is not null and octet_length(image) > 0").withColumn("digest", F.sha2("image", 256))
-    firsts = cut(digests.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").cast("long").alias("node")))
-    # The row of the smallest id of alike images is read; a pair of rows with one id is read once.
-    lead = firsts.select(F.col("node").alias("lead"))
-    spots = named.select(F.col("id").cast("long").alias("node"), "image").join(lead, F.col("node") == F.col("lead"), "left_semi").mapInArrow(_corner_rows, "node long, scale int, x int, y int, turn int, w0 int, w1 int, w2 int, w3 int")
-    place = F.struct("node", "scale", "x", "y", "turn", "w0", "w1", "w2", "w3")
-    keyed = spots.select(place.alias("own"), F.posexplode(F.array("w0", "w1", "w2", "w3")).alias("t", "word")).select("own", F.xxhash64("t", "word").alias("key"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "own.node"), "own")
-    met = keyed.select("own", F.first("own").over(order).alias("head"), F.lag("own").over(order).alias("before"))
+    firsts = cut(digests.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("n")))
+    # Of alike images, that of the smallest id is read. The others are few beside all images, so theirs
+    # is the list that the images are held against; a pair of rows with one id is read twice, which
+    # changes nothing, as an image isn't compared with itself.
+    ids = digests.where("id is not null").select(F.col("id").cast("long").alias("same"), F.col("digest").alias("d"))
+    copies = ids.join(firsts.where("n > 1"), F.col("d") == F.col("digest")).where("same <> node").select("same")
+    shown = rows.where("id is not null and octet_length(image) > 0").select(F.col("id").cast("long").alias("node"), "image")
+    spots = shown.join(copies, F.col("node") == F.col("same"), "left_anti").mapInArrow(_corner_rows, "node long, place long, w0 int, w1 int, w2 int, w3 int")
+    # A table's rows carry its word as the key and the three others, in the same order on both sides.
+    turned = F.array(*(F.struct(F.lit(t).cast("byte").alias("t"), F.col(f"w{t}").alias("word"), *(F.col(f"w{(t + k) % 4}").alias(f"v{k}") for k in (1, 2, 3))) for t in range(4)))
+    keyed = spots.select("node", "place", F.explode(turned).alias("e")).select("e.t", "e.word", "node", "place", "e.v1", "e.v2", "e.v3")
+    order = Window.partitionBy("t", "word").orderBy(F.xxhash64("t", "word", "node"), "node", "place")
+    own = F.struct("node", "place", "v1", "v2", "v3")
+    met = keyed.select(own.alias("own"), F.first(own).over(order).alias("head"), F.lag(own).over(order).alias("before"))
     pairs = met.select("own", F.explode(F.array("head", "before")).alias("other")).where("other is not null and other.node <> own.node")
+    differ = sum(F.bit_count(F.col(f"own.v{k}").bitwiseXOR(F.col(f"other.v{k}"))) for k in (1, 2, 3))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    pairs = pairs.select(low.alias("p"), high.alias("q"))
-    differ = sum(F.bit_count(F.col(f"p.w{k}").bitwiseXOR(F.col(f"q.w{k}"))) for k in range(4))
-    step = F.pow(F.lit(2.0), F.col("q.scale") - F.col("p.scale"))
-    turned = (F.col("q.turn") - F.col("p.turn") + TURNS) % TURNS
+    pairs = pairs.where(differ <= APART).select(low.alias("p"), high.alias("q"))
+    at = {f"{s}_{w}": _unpacked(F.col(f"{s}.place"), w) for s in "pq" for w in ("scale", "x", "y", "turn")}
+    step = F.pow(F.lit(2.0), at["q_scale"] - at["p_scale"])
+    turned = (at["q_turn"] - at["p_turn"] + TURNS) % TURNS
     angle = turned * (2 * np.pi / TURNS)
-    size = F.pow(F.lit(2.0), F.col("p.scale"))
-    full = F.pow(F.lit(2.0), F.col("q.scale"))
-    px, py = F.col("p.x") * size, F.col("p.y") * size
-    sx = F.col("q.x") * full - step * (px * F.cos(angle) - py * F.sin(angle))
-    sy = F.col("q.y") * full - step * (px * F.sin(angle) + py * F.cos(angle))
-    votes = pairs.where(differ <= APART).select(
-        F.col("p.node").alias("a"), F.col("q.node").alias("b"), (F.col("q.scale") - F.col("p.scale")).alias("step"), turned.alias("turned"), F.round(sx / GRID).cast("int").alias("sx"), F.round(sy / GRID).cast("int").alias("sy"), F.struct("p.scale", "p.x", "p.y").alias("at")
-    )
+    size, full = F.pow(F.lit(2.0), at["p_scale"]), F.pow(F.lit(2.0), at["q_scale"])
+    px, py = at["p_x"] * size, at["p_y"] * size
+    sx = at["q_x"] * full - step * (px * F.cos(angle) - py * F.sin(angle))
+    sy = at["q_y"] * full - step * (px * F.sin(angle) + py * F.cos(angle))
+    # A corner votes once, whatever the turn it was met by.
+    spot = F.shiftright(F.col("p.place"), TURN_BITS)
+    votes = pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), (at["q_scale"] - at["p_scale"]).alias("step"), turned.alias("turned"), F.round(sx / GRID).cast("int").alias("sx"), F.round(sy / GRID).cast("int").alias("sy"), spot.alias("at"))
     agreed = votes.distinct().groupBy("a", "b", "step", "turned", "sx", "sy").count().where(F.col("count") >= LEAST_VOTES)
     edges = cut(agreed.select("a", "b").distinct())
     parts = cut(connected_components(edges))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    group = firsts.join(parts, "node", "left").join(degree, "node", "left").select(F.col("digest").alias("of"), F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    group = firsts.drop("n").join(parts, "node", "left").join(degree, "node", "left").select(F.col("digest").alias("of"), F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = digests.join(group, digests["digest"] == group["of"], "left")
     known = F.col("id").isNotNull() & F.col("of").isNotNull()
     return out.select(F.col("id").alias(id_col), F.when(known, F.col("component_id")).otherwise(F.col("id").cast("long")).alias("component_id"), F.when(known, F.col("n_links")).otherwise(0).alias("n_links"))
