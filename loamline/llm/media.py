@@ -3,23 +3,24 @@
 An image (portable graymap or pixmap, or PNG of 8 bits a channel) is scaled down by halves; corners are
 strict local maxima of the Harris response at each scale; the patch around each is turned by the
 direction of its intensity centroid and read as 128 comparisons of pixel pairs. Descriptors are cut into
-four 32-bit keys, one table each, so two that differ in up to three bits share a key. Within a key each
-corner meets the first and the one before it in an order of the key's own, so rows stay in
-proportion however many images share it; a meeting is verified by the Hamming distance. Meetings of two
-images vote for a similarity transform (scale step, turn, shift); images are linked when enough different
-corners agree on one. Images alike in every pixel are one from the start.
+four 32-bit keys, one table each, so two that differ in up to three bits share a key. Within a key every
+corner meets every other, as the votes of a pair of images must add up and links are counted; a meeting is
+verified by the Hamming distance. Meetings of two images vote for a similarity transform (scale step,
+turn, shift); images are linked when enough different corners agree on one. Images alike in every pixel
+are one from the start. Rows grow with the square of a group of edited copies.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .base import cut, pick
 from .graph import connected_components
@@ -208,13 +209,11 @@ def image_copies(media: DataFrame, id_col: str = "doc_id", image_col: str = "ima
     # A table's rows carry its word as the key and the three others, in the same order on both sides.
     turned = F.array(*(F.struct(F.lit(t).cast("byte").alias("t"), F.col(f"w{t}").alias("word"), *(F.col(f"w{(t + k) % 4}").alias(f"v{k}") for k in (1, 2, 3))) for t in range(4)))
     keyed = spots.select("node", "place", F.explode(turned).alias("e")).select("e.t", "e.word", "node", "place", "e.v1", "e.v2", "e.v3")
-    order = Window.partitionBy("t", "word").orderBy(F.xxhash64("t", "word", "node"), "node", "place")
-    own = F.struct("node", "place", "v1", "v2", "v3")
-    met = keyed.select(own.alias("own"), F.first(own).over(order).alias("head"), F.lag(own).over(order).alias("before"))
-    pairs = met.select("own", F.explode(F.array("head", "before")).alias("other")).where("other is not null and other.node <> own.node")
-    differ = sum(F.bit_count(F.col(f"own.v{k}").bitwiseXOR(F.col(f"other.v{k}"))) for k in (1, 2, 3))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    pairs = pairs.where(differ <= APART).select(low.alias("p"), high.alias("q"))
+    own, other = (keyed.select("t", "word", F.struct("node", "place", "v1", "v2", "v3").alias(s)) for s in "pq")
+    differ = sum(F.bit_count(F.col(f"p.v{k}").bitwiseXOR(F.col(f"q.v{k}"))) for k in (1, 2, 3))
+    # Two corners that agree in several words meet in the first such table only.
+    again = reduce(or_, ((F.col("t") >= 4 - k) & (F.col(f"p.v{k}") == F.col(f"q.v{k}")) for k in (1, 2, 3)))
+    pairs = own.join(other, ["t", "word"]).where((F.col("p.node") < F.col("q.node")) & (differ <= APART) & ~again).select("p", "q")
     at = {f"{s}_{w}": _unpacked(F.col(f"{s}.place"), w) for s in "pq" for w in ("scale", "x", "y", "turn")}
     step = F.pow(F.lit(2.0), at["q_scale"] - at["p_scale"])
     turned = (at["q_turn"] - at["p_turn"] + TURNS) % TURNS

@@ -221,6 +221,20 @@ def test_crops_edits_and_turns_are_found(spark):
     assert media.image_copies(frame.limit(0)).count() == 0
 
 
+def test_large_group_of_edited_pictures(spark):
+    """A thousand copies, each with its own noise in one corner: all link to all, and links are counted."""
+    rng = np.random.default_rng(3)
+    base = np.kron(rng.integers(0, 256, (12, 12)), np.ones((4, 4)))
+    rows = []
+    for i in range(1000):
+        copy = base.copy()
+        copy[36:, 36:] = rng.integers(0, 256, (12, 12))
+        rows.append((i, gray(copy)))
+    rows += [(2000 + i, gray(np.kron(rng.integers(0, 256, (12, 12)), np.ones((4, 4))))) for i in range(20)]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in media.image_copies(spark.createDataFrame(rows, "doc_id long, image binary").repartition(8)).collect()}
+    assert all(got[i] == (0, 999) for i in range(1000)) and all(got[2000 + i] == (2000 + i, 0) for i in range(20))
+
+
 def test_drawn_texts(odd):
     assert media.image_copies(media.pictures(odd)).count() == odd.count()
 
