@@ -12,10 +12,12 @@ components with rows in proportion to the group.
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import combinations
 from math import comb, log2
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,70 +145,139 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     return prints.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-#: For similar(): hashes of the family, least similarity, and the share of bits that may differ. Shingle
-#: sets of Jaccard similarity 0.8 share 8 of 9 shingles, so a bit differs with probability
-#: acos(8/9)/pi = 0.151; the limit leaves one standard deviation of 512 bits for chance.
-FAMILY, NEAR_SHARE = 8, 0.16
-#: Bits of a meeting's own fingerprint that may differ. At 0.8 the 43 that the key leaves free differ in
-#: 6.5 with a deviation of 2.3, so one meeting in four hundred is lost, and pairs have several.
-MEETING_BITS = 13
+#: For similar(): the least Jaccard similarity, as a fraction of whole numbers so that nothing is rounded.
+NUMERATOR, DENOMINATOR = 4, 5
+#: Shingles are counted by their highest bits; the counts only set which shingles are looked at first.
+SKETCH_BITS = 16
 
 
-def similar(docs: DataFrame, shingle: int = 5, family: int = FAMILY, share: float = NEAR_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): groups of near copies with a similarity of about 0.8 or more.
-
-    That similarity is about ten bits of 64, too many for one fingerprint's blocks, so ``family``
-    fingerprints are cut into blocks, each with the tables that two (or more) equal blocks make. Within a
-    key, each fingerprint is paired with the first and with the one before it in an order that differs
-    from table to table, so rows stay in proportion to the group; pairs are verified by the Hamming
-    distance of all family * 64 bits. Two texts at 0.8 share a key with probability 0.93 at 8 hashes, at
-    0.85 with 0.98; members of larger groups meet in many keys. Exact copies (of the shingles) share all
-    bits and are one. Null, empty and blank texts have no group: their component_id is their own id.
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Hashes of the different shingles, rising; a text of fewer words is one shingle, a blank one has none."""
+    words = text_bytes(text).translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined, hash64 = b" ".join(words), xxhash.xxh64_intdigest
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: max(1, len(words) - shingle + 1)].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    return np.unique(np.fromiter((hash64(joined[i:j], SEED) for i, j in zip(starts, ends, strict=True)), np.uint64, len(starts)).view(np.int64))
+
+
+def similar(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): groups of near copies, the components of all pairs of texts whose sets of
+    shingles have a Jaccard similarity of 0.8 or more.
+
+    Of two such sets with their shingles in one common order, the first fifths (and one more) share a
+    shingle; these are the keys, at any size of the table. The order is rare shingles first, by a sketch
+    of their counts, so that common lines and templates are seldom keys. Sizes and the places of the
+    shared shingle bound the similarity, and pairs that may reach it are decided by their whole sets.
+    Within a key, each text first meets the first and the one before it, which links most of each group;
+    then all members of a key that are still in different parts meet. Exact copies (of the shingles) are
+    one from the start. Null, empty and blank texts have no group: their component_id is their own id.
     Rows with a null id are left out.
     """
     rows = pick(docs, id=id_col, text=text_col).where("id is not null")
-
-    def task():
-        def each(c):
-            return {"id": c["id"], "fp": [fingerprint(t, shingle, family).to_bytes(8 * family, "big") for t in c["text"]]}
-
-        return each
-
-    prints = cut(arrow_map(rows, task, f"id {rows.schema['id'].dataType.simpleString()}, fp binary"))
-    blank = F.lit(bytes(8 * family))
-    first = cut(prints.where(F.col("fp") != blank).groupBy("fp").agg(F.min("id").alias("node")))
-    tables = tables_for(first.count(), 4)
-    word = lambda fp, k: F.conv(F.hex(F.substring(fp, 8 * k + 1, 8)), 16, -10).cast("long")
-    words = first.select("node", F.col("node").alias("part"), F.array(*(word(F.col("fp"), k) for k in range(family))).alias("words"))
-    # One hash's keys link nearly all members of large groups; the other hashes then meet across parts
-    # only, so that no group's pairs are verified over and over.
-    grouped = words
-    for hashes in (range(1), range(1, family)):
-        joined = cut(connected_components(_verified(grouped, hashes, tables, family, share))).toDF("part", "whole")
-        grouped = grouped.join(joined, "part", "left").select("node", F.coalesce("whole", "part").alias("part"), "words")
-    of = first.join(grouped.select("node", F.col("part").alias("component_id")), "node").select(F.col("fp").alias("print"), "component_id")
-    return prints.join(of, prints["fp"] == of["print"], "left").select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
-
-
-def _meetings(words: DataFrame, hashes: range, tables: list[int]) -> DataFrame:
-    """(x, y): nodes of different parts that meet in a key of these hashes. words: node, part, words."""
-    masks = F.array(*(F.lit(signed(m)) for m in tables))
-    chosen = F.array(*(F.struct(F.lit(k).alias("k"), F.col("words")[k].alias("fp")) for k in hashes))
-    keyed = words.select("node", "part", F.explode(chosen).alias("h")).select("node", "part", "h.k", "h.fp", F.posexplode(masks).alias("t", "mask"))
-    keyed = keyed.select(F.struct("node", "part", "fp").alias("own"), F.xxhash64("k", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "own.node"), "own.node")
-    met = keyed.select("own", F.first("own").over(order).alias("head"), F.lag("own").over(order).alias("before"))
-    pairs = met.select("own", F.explode(F.array("head", "before")).alias("other")).where("other is not null and other.part <> own.part")
-    near = pairs.where(F.bit_count(F.col("own.fp").bitwiseXOR(F.col("other.fp"))) <= MEETING_BITS)
-    return near.select(F.greatest("own.node", "other.node").alias("x"), F.least("own.node", "other.node").alias("y")).distinct()
-
-
-def _verified(words: DataFrame, hashes: range, tables: list[int], family: int, share: float) -> DataFrame:
-    """Edges (a, b) between parts: meetings that differ in few enough bits over the whole family."""
-    edges = _meetings(words, hashes, tables)
-    left, right = (words.select(F.col("node").alias(n), F.col("part").alias(p), F.col("words").alias(w)) for n, p, w in (("x", "a", "wx"), ("y", "b", "wy")))
-    apart = sum(F.bit_count(F.col("wx")[k].bitwiseXOR(F.col("wy")[k])) for k in range(family))
-    return edges.join(left, "x").join(right, "y").where(apart <= int(share * BITS * family)).select("a", "b")
+    kind = rows.schema["id"].dataType.simpleString()
+    ids = cut(arrow_map(rows, lambda: _nodes(shingle, False), f"id {kind}, node binary"))
+    # Dealt by node once, in as many parts as joins have: verifying moves pairs, not all sets.
+    dealt = arrow_map(rows, lambda: _nodes(shingle, True), "node binary, held array<long>").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    sets = cut(dealt.groupBy("node").agg(F.first("held", ignorenulls=True).alias("held")))
+    members = _members(sets)
+    parts = cut(connected_components(_verified(_first_meetings(members), sets)))
+    first = ids.groupBy("node").agg(F.min("id").alias("first"))
+    group = cut(first.join(parts.toDF("of", "part"), F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("part", "node").alias("part")))
+    lowest = group.groupBy("part").agg(F.min("first").alias("component_id"))
+    of = group.join(lowest, "part").select("node", "component_id")
+    return ids.join(of, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def _nodes(shingle: int, whole: bool):
+    """Rows of id and node, the digest of the set of shingles (of the id, if the set is empty); with
+    ``whole``, of node and set, which is left out where the task lately had it."""
+    seen = set()
+
+    def each(c):
+        nodes, sets = [], []
+        for i, text in zip(c["id"], c["text"], strict=True):
+            held = shingles(text, shingle)
+            node = blake2b(held.tobytes() or repr(i).encode("utf-8", "surrogatepass"), digest_size=16, person=b"" if len(held) else b"blank").digest()
+            nodes.append(node)
+            if whole:
+                sets.append(None if node in seen else held)
+                if len(seen) >= CHUNK:
+                    seen.clear()
+                seen.add(node)
+        return {"node": nodes, "held": sets} if whole else {"id": c["id"], "node": nodes}
+
+    return each
+
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets have each pattern of highest bits."""
+
+    def run(batches):
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            counts += np.bincount(_bucket(batch.column(0).flatten().to_numpy()), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
+
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    for row in sets.select("held").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        total[row["at"]] = row["n"]
+    return total
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    """(key, own) of keys that several nodes share. own: node, size of its set, place of the key in it."""
+    shared = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            for node, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = held.values.to_numpy()
+                if not len(hashes):
+                    continue
+                few = len(hashes) - -(-len(hashes) * NUMERATOR // DENOMINATOR) + 1
+                keys = hashes[np.lexsort((hashes, counts[_bucket(hashes)]))[:few]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([node] * few, pa.binary()), pa.array(np.full(few, len(hashes), np.int32)), pa.array(np.arange(few, dtype=np.int32))], names=["key", "node", "size", "place"])
+
+    keyed = sets.mapInArrow(run, "key long, node binary, size int, place int")
+    met = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    return cut(met.where("n > 1").select("key", F.struct("node", "size", "place").alias("own")))
+
+
+def _may_reach(x: str, y: str):
+    """Whether two sets that share a key as the first of all may have the least similarity: the shared are
+    at least NUMERATOR / (NUMERATOR + DENOMINATOR) of both sizes together, and at most what follows."""
+    left = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place"))
+    return left * (NUMERATOR + DENOMINATOR) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * NUMERATOR
+
+
+def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
+    """(x, y) of the nodes of met whose sets may reach the least similarity, each pair once."""
+    return met.where(_may_reach(x, y)).select(F.greatest(f"{x}.node", f"{y}.node").alias("x"), F.least(f"{x}.node", f"{y}.node").alias("y")).distinct()
+
+
+def _first_meetings(members: DataFrame) -> DataFrame:
+    """Each member of a key with the first and the one before it, in the order of nodes."""
+    order = Window.partitionBy("key").orderBy("own.node")
+    met = members.select("own", F.first("own").over(order).alias("head"), F.lag("own").over(order).alias("before"))
+    return _pairs(met.select("own", F.explode(F.array("head", "before")).alias("other")).where("other is not null and other.node <> own.node"), "own", "other")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b): the pairs whose sets have the least Jaccard similarity."""
+    left, right = (sets.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("x", "p"), ("y", "q")))
+    both = F.size(F.array_intersect("p", "q"))
+    alike = both * (NUMERATOR + DENOMINATOR) >= (F.size("p") + F.size("q")) * NUMERATOR
+    return pairs.join(left, "x").join(right, "y").where(alike).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -179,6 +179,34 @@ def test_large_group_of_near_copies(spark):
     assert {got[i] for i in range(300)} == {0} and all(got[1000 + i] == 1000 + i for i in range(20))
 
 
+def versions(seed, share, n=200):
+    """Two texts of n words whose sets of five-word shingles have about this similarity, and that similarity."""
+    rng = random.Random(seed)
+    one = prose(seed, n).split()
+    two, at = list(one), rng.sample(range(n), n)
+    while alike(one, two) > share:
+        two[at.pop()] = f"new{rng.random()}"
+    return " ".join(one), " ".join(two), alike(one, two)
+
+
+def alike(one, two):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (one, two))
+    return len(a & b) / len(a | b)
+
+
+def groups_of(spark, texts):
+    got = simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r["doc_id"]: r["component_id"] for r in got}
+
+
+def test_every_pair_at_the_least_similarity(spark):
+    """Pairs from 0.76 to 0.86: those at 0.8 or more are joined, all of them, and no others."""
+    pairs = [versions(i, 0.76 + i % 10 / 100, 400) for i in range(200)]
+    got = groups_of(spark, [t for a, b, _ in pairs for t in (a, b)])
+    assert {i for i in range(200) if got[2 * i + 1] == got[2 * i]} == {i for i, p in enumerate(pairs) if p[2] >= 0.8}
+    assert 40 < sum(p[2] >= 0.8 for p in pairs) < 160 and all(got[2 * i] == 2 * i for i in range(200))
+
+
 def gray(image):
     return b"P5 %d %d 255\n" % (image.shape[1], image.shape[0]) + image.astype(np.uint8).tobytes()
 
