@@ -207,6 +207,16 @@ def test_every_pair_at_the_least_similarity(spark):
     assert 40 < sum(p[2] >= 0.8 for p in pairs) < 160 and all(got[2 * i] == 2 * i for i in range(200))
 
 
+def test_pairs_at_the_least_similarity_at_every_size(spark):
+    """The same pairs, alone and among more texts than 2^12, where keys once grew longer and found less."""
+    pairs = [p for p in (versions(i, 0.805, 400) for i in range(150)) if p[2] >= 0.8]
+    texts = [t for a, b, _ in pairs for t in (a, b)]
+    for more in (0, 5000):
+        got = groups_of(spark, texts + [prose(10_000 + i, 12) for i in range(more)])
+        assert len(pairs) > 50 and [got[2 * i + 1] for i in range(len(pairs))] == [2 * i for i in range(len(pairs))]
+        assert all(got[i] == i for i in range(len(texts), len(texts) + more))
+
+
 def gray(image):
     return b"P5 %d %d 255\n" % (image.shape[1], image.shape[0]) + image.astype(np.uint8).tobytes()
 
