@@ -184,7 +184,10 @@ def similar(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col:
     dealt = arrow_map(rows, lambda: _nodes(shingle, True), "node binary, held array<long>").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     sets = cut(dealt.groupBy("node").agg(F.first("held", ignorenulls=True).alias("held")))
     members = _members(sets)
-    parts = cut(connected_components(_verified(_first_meetings(members), sets)))
+    linked = cut(_verified(_first_meetings(members), sets))
+    parts = cut(connected_components(linked))
+    others = _verified(_other_meetings(members, parts), sets)
+    parts = cut(connected_components(linked.unionByName(others)))
     first = ids.groupBy("node").agg(F.min("id").alias("first"))
     group = cut(first.join(parts.toDF("of", "part"), F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("part", "node").alias("part")))
     lowest = group.groupBy("part").agg(F.min("first").alias("component_id"))
@@ -272,6 +275,18 @@ def _first_meetings(members: DataFrame) -> DataFrame:
     return _pairs(met.select("own", F.explode(F.array("head", "before")).alias("other")).where("other is not null and other.node <> own.node"), "own", "other")
 
 
+def _other_meetings(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """All members of a key that are in different parts. Parts are paired before their members are, so that
+    a key's large group costs its own rows only."""
+    placed = members.join(parts.toDF("of", "part"), F.col("own.node") == F.col("of"), "left").select("key", "own", F.coalesce("part", "own.node").alias("part"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    placed = cut(placed.join(mixed, "key", "left_semi"))
+    inside = placed.select("key", "part").distinct()
+    across = inside.toDF("key", "p").join(inside.toDF("key", "q"), "key").where("p < q")
+    met = across.join(placed.toDF("key", "x", "p"), ["key", "p"]).join(placed.toDF("key", "y", "q"), ["key", "q"])
+    return _pairs(met, "x", "y")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (a, b): the pairs whose sets have the least Jaccard similarity."""
     left, right = (sets.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("x", "p"), ("y", "q")))

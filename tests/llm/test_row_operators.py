@@ -217,6 +217,19 @@ def test_pairs_at_the_least_similarity_at_every_size(spark):
         assert all(got[i] == i for i in range(len(texts), len(texts) + more))
 
 
+def test_true_pairs_among_relatives(spark):
+    """Texts of one template that are mostly no copies of each other, against all pairs by brute force."""
+    rng, base, texts = random.Random(5), prose(9, 60).split(), []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(60), rng.randint(1, 3)):
+            words[at] = f"own{rng.randrange(3)}x{at}"
+        texts.append(" ".join(words))
+    split = [t.split() for t in texts]
+    want = joined(range(400), [(a, b) for a, b in itertools.combinations(range(400), 2) if alike(split[a], split[b]) >= 0.8])
+    assert groups_of(spark, texts) == want and len(set(want.values())) > 20
+
+
 def gray(image):
     return b"P5 %d %d 255\n" % (image.shape[1], image.shape[0]) + image.astype(np.uint8).tobytes()
 
