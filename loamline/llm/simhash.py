@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .base import arrow_map, cut, pick, place_of, plain, text_bytes
+from .base import arrow_map, cut, pick, place_of, plain, release, text_bytes
 from .graph import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -180,12 +180,14 @@ def similar(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col:
     rows = pick(docs, id=id_col, text=text_col).where("id is not null")
     kind = rows.schema["id"].dataType.simpleString()
     ids = cut(arrow_map(rows, lambda: _nodes(shingle, False), f"id {kind}, node binary"))
-    # Dealt by node once, in as many parts as joins have: verifying moves pairs, not all sets.
-    dealt = arrow_map(rows, lambda: _nodes(shingle, True), "node binary, held array<long>").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    sets = cut(dealt.groupBy("node").agg(F.first("held", ignorenulls=True).alias("held")))
+    # The sets are several times the ids, so each step's shuffles go before the next one's come.
+    sets = _sets(rows, shingle)
+    release(docs.sparkSession)
     members = _members(sets)
+    release(docs.sparkSession)
     linked = cut(_verified(_first_meetings(members), sets))
     parts = cut(connected_components(linked))
+    release(docs.sparkSession)
     others = _verified(_other_meetings(members, parts), sets)
     parts = cut(connected_components(linked.unionByName(others)))
     first = ids.groupBy("node").agg(F.min("id").alias("first"))
@@ -195,6 +197,19 @@ def similar(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col:
     return ids.join(of, "node").select(F.col("id").alias(id_col), "component_id")
 
 
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, held), dealt by node in as many parts as joins have: verifying moves pairs, not all sets."""
+    conf = rows.sparkSession.conf
+    dealt = arrow_map(rows, lambda: _nodes(shingle, True), "node binary, held array<long>").repartition(int(conf.get("spark.sql.shuffle.partitions")), "node")
+    # Only a plan that isn't adaptive tells the checkpoint how its rows are dealt.
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(dealt.groupBy("node").agg(F.first("held", ignorenulls=True).alias("held")))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def _nodes(shingle: int, whole: bool):
     """Rows of id and node, the digest of the set of shingles (of the id, if the set is empty); with
     ``whole``, of node and set, which is left out where the task lately had it."""
@@ -253,7 +268,7 @@ def _members(sets: DataFrame) -> DataFrame:
 
     keyed = sets.mapInArrow(run, "key long, node binary, size int, place int")
     met = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    return cut(met.where("n > 1").select("key", F.struct("node", "size", "place").alias("own")))
+    return cut(met.where("n > 1").drop("n")).select("key", F.struct("node", "size", "place").alias("own"))
 
 
 def _may_reach(x: str, y: str):
