@@ -1,7 +1,8 @@
 """Commits by shape: features, scaling, k-means, silhouette, labels, drift.
 
 Commits are many but their features are few different triples, so distances are worked out once for each
-different triple and counted as often as it occurs; what the driver holds are triples, up to MAX_TRIPLES.
+different triple and counted as often as it occurs. The driver holds the triples, and for the seeds of
+k-means the number of each commit's triple in log order, at every size.
 """
 
 from __future__ import annotations
@@ -19,10 +20,8 @@ from .activity import churn, in_window
 
 FEATURES = ("file_count", "total_churn", "add_ratio")
 SEED, MAX_K, ROUNDS = 42, 8, 100
-#: Commits up to which k-means starts from the log order, as a single-node run would; beyond, from the
-#: order of the triples.
-LOG_ORDER_COMMITS = 1_000_000
-MAX_TRIPLES = 200_000
+#: Distances that silhouette holds at a time.
+HELD = 1 << 22
 
 
 def commit_features(changes: DataFrame) -> DataFrame:
@@ -127,7 +126,7 @@ def kmeans(points: np.ndarray, counts: np.ndarray, order: np.ndarray, k: int, se
     return centroids, before
 
 
-def silhouette(points: np.ndarray, counts: np.ndarray, cluster: np.ndarray, block: int = 1024) -> float:
+def silhouette(points: np.ndarray, counts: np.ndarray, cluster: np.ndarray, block: int | None = None) -> float:
     """Mean silhouette over all commits. One cluster, or only clusters of one commit, give 0; a commit
     alone in its cluster among larger ones has no distance to its own and counts 1."""
     names, at = np.unique(cluster, return_inverse=True)
@@ -138,7 +137,7 @@ def silhouette(points: np.ndarray, counts: np.ndarray, cluster: np.ndarray, bloc
         return 0.0
     member = np.zeros((len(points), len(names)))
     member[np.arange(len(points)), at] = counts
-    total = 0.0
+    total, block = 0.0, block or max(1, min(1024, HELD // len(points)))
     for i in range(0, len(points), block):
         part, own = points[i : i + block], at[i : i + block]
         far = np.sqrt(((part[:, None, :] - points[None, :, :]) ** 2).sum(2)) @ member
@@ -164,16 +163,11 @@ def triples(scaled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different scaled triples, how many commits have each, and the triples' numbers in log order."""
     names = [f"n_{c}" for c in FEATURES]
     per = scaled.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names)
-    got = per.limit(MAX_TRIPLES + 1).toPandas()
-    if len(got) > MAX_TRIPLES:
-        raise ValueError(f"more than {MAX_TRIPLES} different feature triples; round the features first")
+    got = per.toPandas()
     points, counts = got[names].to_numpy(float), got["n"].to_numpy(np.int64)
-    if counts.sum() <= LOG_ORDER_COMMITS:
-        log = scaled.orderBy(F.desc("date"), "commit_hash").select(*names).toPandas().to_numpy(float)
-        at = {tuple(p): i for i, p in enumerate(points.tolist())}
-        order = np.array([at[tuple(p)] for p in log.tolist()], np.int64)
-    else:
-        order = np.repeat(np.arange(len(points)), counts)
+    at = {tuple(p): i for i, p in enumerate(points.tolist())}
+    log = scaled.orderBy(F.desc("date"), "commit_hash").select(*names).toLocalIterator()
+    order = np.fromiter((at[tuple(map(float, r))] for r in log), np.int32)
     return points, counts, order
 
 

@@ -216,3 +216,13 @@ def test_ranges_hold(rows):
         assert 0 <= r["coupling_strength"] <= 1 and r["file_a"] < r["file_b"]
     for r in activity.hotspots(frame, spark.createDataFrame([], SIZES), str(NOW), 90).collect():
         assert 0 <= r["hotspot_score"] <= 1 and 0 <= r["rework_ratio"] < 1
+
+
+@pytest.mark.parametrize(("commits", "different"), [(0, 200_000), (1_000_000, 2)])
+def test_triples_are_numbered_in_log_order_at_every_size(spark, monkeypatch, commits, different):
+    monkeypatch.setattr(clustering, "LOG_ORDER_COMMITS", commits, raising=False)
+    monkeypatch.setattr(clustering, "MAX_TRIPLES", different, raising=False)
+    rows = [(f"c{i}", NOW - timedelta(days=i), float(i * 7 % 4), 0.5, 1.0) for i in range(12)]
+    scaled = spark.createDataFrame(rows, "commit_hash string, date timestamp, n_file_count double, n_total_churn double, n_add_ratio double")
+    points, counts, order = clustering.triples(scaled)
+    assert [points[i][0] for i in order] == [r[2] for r in rows] and counts.tolist() == [3, 3, 3, 3]
