@@ -115,14 +115,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
     """doc id, n_words, hit spans (array of first and end word) and items (sorted strings) of each row.
 
     Null and empty texts have no words. A null item id counts as the item ''. Rows with one item id are
-    one item. Repeated document rows are judged one by one while one pass is enough; beyond that, rows
-    that share id and text are judged once for all. An empty benchmark hits nothing.
+    one item. Rows are judged one by one, whatever their ids: each goes through all passes with its hits
+    so far. An empty benchmark hits nothing.
     """
     sc = docs.sparkSession.sparkContext
     rows = pick(docs, id=id_col, text=text_col)
     id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n_words long, spans array<struct<first:long,end:long>>, items array<string>"
-    outs = []
+    schema = f"id {id_type}, text string, n_words long, spans array<struct<first:long,end:long>>, items array<string>"
+    rows = rows.select("id", F.col("text").cast("string").alias("text"), F.array().cast("array<struct<first:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for part in _passes(benchmark, item_col, item_text_col, max_windows):
         shared = sc.broadcast(part)
 
@@ -130,25 +130,19 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
             found = Windows(shared.value, window)
 
             def each(c):
-                out = {"id": c["id"], "n_words": [], "spans": [], "items": []}
-                for text in c["text"]:
+                out = {"id": c["id"], "text": c["text"], "n_words": [], "spans": [], "items": []}
+                for text, spans, before in zip(c["text"], c["spans"], c["items"], strict=True):
                     words = words_of(text)
                     hit, items = found.find(words)
                     out["n_words"].append(len(words))
-                    out["spans"].append([{"first": a, "end": b} for a, b in spans_of(hit)])
-                    out["items"].append(sorted(items))
+                    out["spans"].append(spans + [{"first": a, "end": b} for a, b in spans_of(hit)])
+                    out["items"].append(sorted(items.union(before)))
                 return out
 
             return each
 
-        outs.append(arrow_map(rows, task, schema))
-    if len(outs) == 1:
-        return outs[0].withColumnRenamed("id", id_col)
-    united = outs[0]
-    for other in outs[1:]:
-        united = united.unionByName(other)
-    merged = united.groupBy("id", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return merged.withColumnRenamed("id", id_col)
+        rows = arrow_map(rows, task, schema)
+    return rows.select(F.col("id").alias(id_col), "n_words", F.array_distinct("spans").alias("spans"), "items")
 
 
 def hit_words(spans: str = "spans"):

@@ -10,6 +10,8 @@ from hypothesis import strategies as st
 
 from loamline.llm import decontaminate, labelled, pii, quality, tokens, toxicity
 
+from .conftest import prose
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -65,6 +67,15 @@ def test_leaks_go(spark, odd):
     assert decontaminate.benchmark_hits(odd, items.limit(0)).count() == odd.count() and decontaminate.without_benchmark(odd.limit(0), items).count() == 0
 
 
+def test_rows_stay_apart_in_several_passes(spark):
+    """Rows without an id, with one id, and alike ones, against a benchmark of one pass and of several."""
+    items = spark.createDataFrame([(f"q{i}", prose(50 + i, 10)) for i in range(4)], "item_id string, text string")
+    texts = [prose(50 + i, 10) for i in range(4)]
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[0]), (8, texts[0]), (9, None)], "doc_id long, text string")
+    seen = lambda most: sorted(str(tuple(r)) for r in decontaminate.benchmark_hits(docs, items, max_windows=most).collect())
+    assert len(seen(10**6)) == 7 and seen(10) == seen(10**6)
+
+
 def library():
     import public_tokenizers
     from tokenizers import Tokenizer
