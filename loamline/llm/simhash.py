@@ -296,6 +296,7 @@ def _other_meetings(members: DataFrame, parts: DataFrame) -> DataFrame:
     placed = members.join(parts.toDF("of", "part"), F.col("own.node") == F.col("of"), "left").select("key", "own", F.coalesce("part", "own.node").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     placed = cut(placed.join(mixed, "key", "left_semi"))
+    release(members.sparkSession)
     inside = placed.select("key", "part").distinct()
     across = inside.toDF("key", "p").join(inside.toDF("key", "q"), "key").where("p < q")
     met = across.join(placed.toDF("key", "x", "p"), ["key", "p"]).join(placed.toDF("key", "y", "q"), ["key", "q"])
