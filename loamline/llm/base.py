@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import os
+import re
 import tempfile
-import time
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows taken from an Arrow batch at a time, so that few long texts are Python objects at once.
 SLICE_ROWS = 512
+#: Spark's setting by which the shuffle files of an action go when it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def place_of(df: DataFrame, name: str) -> int:
@@ -40,30 +41,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is set (tests), a temporary one."""
+    """The shared folder of the cluster. Only a session in one process (tests) may have none and gets a
+    temporary one; elsewhere executors would not share it, which is an error."""
     sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir")
+    given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if given:
         return given
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loamline-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder, so that later steps neither repeat
-    its plan nor lose it with an executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps now, not when the driver next collects garbage."""
-    for _ in range(3):
-        gc.collect()
-        time.sleep(0.7)  # a thread tells the JVM, object by object, what Python has let go
-        spark.sparkContext._jvm.java.lang.System.gc()
-        time.sleep(0.3)  # and another removes the files of what the JVM found unused
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, written as Parquet in the shared folder and read from there, so that later steps
+    neither repeat its plan nor lose it with an executor. Its shuffle files go as soon as it is written;
+    drop() removes the table, the end of the application what is left."""
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark)}/loamline-{uuid4().hex}"
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+    fs, path = _path(spark, at)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._cut_at = at
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of cut() that nothing reads any more."""
+    for t in tables:
+        fs, path = _path(t.sparkSession, t._cut_at)
+        fs.delete(path, True)
 
 
 def arrow_map(df: DataFrame, rows: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
@@ -92,4 +111,4 @@ def text_bytes(text: str | None) -> bytes:
 
 def scratch_dir() -> str:
     """A task's own scratch folder: local disk for spilled runs, removed by the task itself."""
-    return tempfile.mkdtemp(prefix="loamline-", dir=os.environ.get("SPARK_LOCAL_SCRATCH"))
+    return tempfile.mkdtemp(prefix="loamline-")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, drop
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     neighbours at the smallest of them, so stars shrink on both ends and a chain of n links takes about
     log n rounds. The smallest neighbour is a partial aggregate, so a node that a third of all edges
     share costs a row a task, and the join back to its edges is one that Spark can split. Each round is
-    kept in the checkpoint folder. Edges with a null end and loops are ignored; repeated edges count
+    kept in the checkpoint folder until the next one is. Edges with a null end and loops are ignored; repeated edges count
     once; an empty table gives an empty result.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
@@ -38,6 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         small = large.join(least, large["a"] == least["hub"]).select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select(F.col("hub").alias("a"), F.col("low").alias("b")))
         after = cut(small.where("a <> b").distinct())
         new = _state(after)
+        drop(now)
         now = after
         if new == state:
             break
@@ -45,4 +46,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     rows = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return rows.unionByName(rows.select(F.col("component").alias("node"), "component").distinct())
+    out = rows.unionByName(rows.select(F.col("component").alias("node"), "component").distinct())
+    out._cut_at = now._cut_at
+    return out

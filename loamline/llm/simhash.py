@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .base import arrow_map, cut, pick, place_of, plain, release, text_bytes
+from .base import SLICE_ROWS, arrow_map, cut, drop, pick, place_of, plain, text_bytes
 from .graph import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -45,28 +45,34 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 4, family: int = 1) -> int:
-    """Unsigned SimHash of 64 bits for each of ``family`` hashes, the first highest: a bit is set if over
-    half of all shingles' hashes have it."""
+def ones_of(hashes: np.ndarray, family: int = 1) -> np.ndarray:
+    """How many of the hashes have each bit, highest first, for each of ``family`` hashes made from them."""
+    ones = np.zeros(BITS * family, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        raw = np.stack([mixed(hashes[at : at + CHUNK], k) for k in range(family)], axis=1)
+        bits = np.unpackbits(raw.astype(">u8").view(np.uint8), axis=1)
+        for k in range(0, len(bits), 255):  # up to 255 ones fit a byte, whose sums are the fastest
+            ones += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return ones
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of all shingles in text order; a text of fewer words is one shingle, a blank one has none."""
     words = text_bytes(text).translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hash64 = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        only = np.array([hash64(joined, SEED)], dtype=np.uint64)
-        return int.from_bytes(b"".join(mixed(only, k).astype(">u8").tobytes() for k in range(family)), "big")
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(words) - shingle + 1]
-    ends = ends[shingle - 1 :]
-    ones = np.zeros(BITS * family, dtype=np.int64)
-    for at in range(0, len(starts), CHUNK):
-        hashes = [hash64(joined[i:j], SEED) for i, j in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)]
-        raw = np.array(hashes, dtype=np.uint64)
-        for k in range(family):
-            bits = np.unpackbits(mixed(raw, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones[k * BITS : (k + 1) * BITS] += bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(starts)).tobytes(), "big")
+    starts = (ends - lengths)[: max(1, len(words) - shingle + 1)].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    return np.fromiter((hash64(joined[i:j], SEED) for i, j in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Unsigned SimHash of 64 bits: a bit is set if over half of all shingles' hashes have it."""
+    hashes = shingle_hashes(text, shingle)
+    return int.from_bytes(np.packbits(ones_of(hashes) * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,13 +125,13 @@ def links(fps: DataFrame, distance: int = 4, wide: int = WIDE) -> DataFrame:
     pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(apart) <= distance)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     if hot.isEmpty():
         return pairs.distinct()
-    near = (distance + 1) // 2
-    flips = [signed(sum(1 << i for i in c)) for k in range(near + 1) for c in combinations(range(BITS), k)]
-    spread = hot.select("fp").distinct().select("fp", F.explode(F.array(*(F.lit(m) for m in flips))).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
-    # A midpoint has at most len(flips) fingerprints around it, so no window is larger than that.
-    stars = spread.select(F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("mid")).alias("b")).where("a <> b")
-    if distance % 2:  # two of a midpoint may be one bit too far apart
-        raise ValueError("an odd distance has no exact midpoints")
+    # Within distance d, some midpoint is at most d // 2 bits from the one and at most the rest from the other.
+    near = distance // 2
+    flips = F.array(*(F.struct(F.lit(signed(sum(1 << i for i in c))).alias("flip"), F.lit(k <= near).alias("close")) for k in range(distance - near + 1) for c in combinations(range(BITS), k)))
+    spread = hot.select("fp").distinct().select("fp", F.explode(flips).alias("e")).select("fp", F.col("fp").bitwiseXOR(F.col("e.flip")).alias("mid"), "e.close")
+    # A midpoint has at most as many fingerprints around it as there are flips, so no window is larger than that.
+    hub = F.min(F.when(F.col("close"), F.col("fp"))).over(Window.partitionBy("mid"))
+    stars = spread.select(F.col("fp").alias("a"), hub.alias("b")).where("a <> b")
     return pairs.unionByName(stars).distinct()
 
 
@@ -149,126 +155,169 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
 NUMERATOR, DENOMINATOR = 4, 5
 #: Shingles are counted by their highest bits; the counts only set which shingles are looked at first.
 SKETCH_BITS = 16
+#: Words of a wide fingerprint. Of its 512 bits, 77.6 differ on average (deviation 8.1) at the least
+#: similarity; a pair with over six deviations more is no candidate. Sets of fewer than SMALL shingles,
+#: whose bits don't follow that rule, are not judged by it.
+FAMILY, APART, SMALL = 8, 126, 64
+PRINT = [f"f{k}" for k in range(FAMILY)]
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Hashes of the different shingles, rising; a text of fewer words is one shingle, a blank one has none."""
-    words = text_bytes(text).translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.int64)
-    joined, hash64 = b" ".join(words), xxhash.xxh64_intdigest
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: max(1, len(words) - shingle + 1)].tolist()
-    ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    return np.unique(np.fromiter((hash64(joined[i:j], SEED) for i, j in zip(starts, ends, strict=True)), np.uint64, len(starts)).view(np.int64))
+    """Hashes of the different shingles, rising."""
+    return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
-def similar(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", wide: int = WIDE) -> DataFrame:
     """(id, component_id): groups of near copies, the components of all pairs of texts whose sets of
     shingles have a Jaccard similarity of 0.8 or more.
 
     Of two such sets with their shingles in one common order, the first fifths (and one more) share a
     shingle; these are the keys, at any size of the table. The order is rare shingles first, by a sketch
-    of their counts, so that common lines and templates are seldom keys. Sizes and the places of the
-    shared shingle bound the similarity, and pairs that may reach it are decided by their whole sets.
-    Within a key, each text first meets the first and the one before it, which links most of each group;
-    then all members of a key that are still in different parts meet. Exact copies (of the shingles) are
-    one from the start. Null, empty and blank texts have no group: their component_id is their own id.
-    Rows with a null id are left out.
+    of their counts, so that common lines and templates are seldom keys. Texts of one key are compared by
+    sizes and places, then by the Hamming distance of wide SimHash fingerprints, and what is left is
+    decided by the whole sets. Each text first meets the smallest of its keys that it shares most; then
+    all members of a key that are still in different parts meet. A key with over ``wide`` such parts is
+    put behind all others in the order, and the texts that hold one are keyed anew, which again misses no
+    pair; only keys that stay as wide for want of other shingles are compared whole.
+
+    Exact copies (of the shingles) are one from the start. Null, empty and blank texts have no group:
+    their component_id is their own id. Rows with a null id are left out; repeated rows come out as often
+    as they go in; an empty table gives an empty result.
     """
     rows = pick(docs, id=id_col, text=text_col).where("id is not null")
     kind = rows.schema["id"].dataType.simpleString()
-    ids = cut(arrow_map(rows, lambda: _nodes(shingle, False), f"id {kind}, node binary"))
-    # The sets are several times the ids, so each step's shuffles go before the next one's come.
-    sets = _sets(rows, shingle)
-    release(docs.sparkSession)
-    members = _members(sets)
-    release(docs.sparkSession)
-    linked = cut(_verified(_first_meetings(members), sets))
+    read = cut(rows.mapInArrow(_read(shingle), f"id {kind}, node binary, size int, {', '.join(f'{f} long' for f in PRINT)}, counts binary"))
+    ids = read.where("counts is null").select("id", "node")
+    firsts = cut(read.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.first("size").alias("size"), *(F.first(f).alias(f) for f in PRINT)))
+    order = docs.sparkSession.sparkContext.broadcast(_counts(read))
+    members = _members(rows.mapInArrow(_keys(shingle, order), KEYED))
+    linked = _verified(_best(_first_meetings(members, firsts)), rows, firsts, shingle)
     parts = cut(connected_components(linked))
-    release(docs.sparkSession)
-    others = _verified(_other_meetings(members, parts), sets)
-    parts = cut(connected_components(linked.unionByName(others)))
-    first = ids.groupBy("node").agg(F.min("id").alias("first"))
-    group = cut(first.join(parts.toDF("of", "part"), F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("part", "node").alias("part")))
+    low = None
+    while True:
+        placed, crowded = _placed(members, parts, wide)
+        old = low
+        if crowded is not None:
+            low = cut(crowded if low is None else crowded.unionByName(low).distinct())
+        last = crowded is None or (old is not None and crowded.join(old, "key", "left_anti").isEmpty())
+        met = _other_meetings(placed if last else placed.join(crowded, "key", "left_anti"), firsts)
+        linked = cut(linked.unionByName(_verified(met, rows, firsts, shingle)))
+        parts = cut(connected_components(linked))
+        drop(members)
+        if last:
+            break
+        again = _held(rows, firsts, placed.join(crowded, "key", "left_semi").select("own.node").distinct(), shingle)
+        members = _members(_rekeyed(again, low, order))
+        drop(again, placed)
+    group = cut(firsts.select("node", "first").join(parts.toDF("of", "part"), F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("part", "node").alias("part")))
     lowest = group.groupBy("part").agg(F.min("first").alias("component_id"))
     of = group.join(lowest, "part").select("node", "component_id")
-    return ids.join(of, "node").select(F.col("id").alias(id_col), "component_id")
-
-
-def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(node, held), dealt by node in as many parts as joins have: verifying moves pairs, not all sets."""
-    conf = rows.sparkSession.conf
-    dealt = arrow_map(rows, lambda: _nodes(shingle, True), "node binary, held array<long>").repartition(int(conf.get("spark.sql.shuffle.partitions")), "node")
-    # Only a plan that isn't adaptive tells the checkpoint how its rows are dealt.
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return cut(dealt.groupBy("node").agg(F.first("held", ignorenulls=True).alias("held")))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
-
-
-def _nodes(shingle: int, whole: bool):
-    """Rows of id and node, the digest of the set of shingles (of the id, if the set is empty); with
-    ``whole``, of node and set, which is left out where the task lately had it."""
-    seen = set()
-
-    def each(c):
-        nodes, sets = [], []
-        for i, text in zip(c["id"], c["text"], strict=True):
-            held = shingles(text, shingle)
-            node = blake2b(held.tobytes() or repr(i).encode("utf-8", "surrogatepass"), digest_size=16, person=b"" if len(held) else b"blank").digest()
-            nodes.append(node)
-            if whole:
-                sets.append(None if node in seen else held)
-                if len(seen) >= CHUNK:
-                    seen.clear()
-                seen.add(node)
-        return {"node": nodes, "held": sets} if whole else {"id": c["id"], "node": nodes}
-
-    return each
-
-
-def _counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all sets have each pattern of highest bits."""
+    named = ids.where("node is not null").join(of, "node").select("id", "component_id")
+    return named.unionByName(ids.where("node is null").select("id", F.col("id").alias("component_id"))).toDF(id_col, "component_id")
+
+
+def _node(held: np.ndarray) -> bytes | None:
+    """The digest by which equal sets are one; an empty set has none."""
+    return blake2b(held.tobytes(), digest_size=16).digest() if len(held) else None
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _read(shingle: int):
+    """Per row its id, node, size and wide fingerprint; and at the end of a task, a row with its counts."""
+
+    def run(batches):
+        counts, schema = np.zeros(1 << SKETCH_BITS, np.int64), None
+        names = ["id", "node", "size", *PRINT, "counts"]
+        for batch in batches:
+            schema = batch.schema
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                sets = [shingles(t, shingle) for t in part.column(1).to_pylist()]
+                counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts))
+                prints = np.stack([np.packbits(ones_of(h.view(np.uint64), FAMILY) * 2 > len(h)).view(">i8").astype(np.int64) for h in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([_node(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int32()), *(pa.array(prints[:, k]) for k in range(FAMILY)), pa.nulls(len(sets), pa.binary())], names=names
+                )
+        if schema is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, schema.field(0).type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.int64()) for _ in PRINT), pa.array([counts.tobytes()], pa.binary())], names=names)
+
+    return run
+
+
+def _counts(read: DataFrame) -> np.ndarray:
+    """How many shingles of all texts have each pattern of highest bits."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            counts += np.bincount(_bucket(batch.column(0).flatten().to_numpy()), minlength=len(counts))
+            for raw in batch.column(0).to_pylist():
+                counts += np.frombuffer(raw, np.int64)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
 
     total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in sets.select("held").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for row in read.where("counts is not null").select("counts").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         total[row["at"]] = row["n"]
     return total
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+KEYED = "key long, node binary, size int, place int"
 
 
-def _members(sets: DataFrame) -> DataFrame:
-    """(key, own) of keys that several nodes share. own: node, size of its set, place of the key in it."""
-    shared = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+def _first_fifth(held: np.ndarray, node: bytes, counts: np.ndarray, low: np.ndarray | None = None) -> pa.RecordBatch:
+    """The set's keys as rows of KEYED. low: shingles that are behind all others."""
+    few = len(held) - -(-len(held) * NUMERATOR // DENOMINATOR) + 1
+    behind = np.zeros(len(held), bool) if low is None else np.isin(held, low)
+    keys = held[np.lexsort((held, counts[_bucket(held)], behind))[:few]]
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([node] * few, pa.binary()), pa.array(np.full(few, len(held), np.int32)), pa.array(np.arange(few, dtype=np.int32))], names=["key", "node", "size", "place"])
+
+
+def _keys(shingle: int, order):
+    """All texts' keys; a set that the task lately had is left out."""
+
+    def run(batches):
+        counts, seen = order.value, set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                out = []
+                for text in batch.column(1).slice(at, SLICE_ROWS).to_pylist():
+                    held = shingles(text, shingle)
+                    node = _node(held)
+                    if node is None or node in seen:
+                        continue
+                    if len(seen) >= CHUNK:
+                        seen.clear()
+                    seen.add(node)
+                    out.append(_first_fifth(held, node, counts))
+                if out:
+                    yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def _rekeyed(sets: DataFrame, low: DataFrame, order) -> DataFrame:
+    """The sets' keys with the shingles of low (key) behind all others."""
+    has = sets.select("node", F.explode("held").alias("key")).join(low, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("low"))
 
     def run(batches):
-        counts = shared.value
+        counts = order.value
         for batch in batches:
-            for node, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes = held.values.to_numpy()
-                if not len(hashes):
-                    continue
-                few = len(hashes) - -(-len(hashes) * NUMERATOR // DENOMINATOR) + 1
-                keys = hashes[np.lexsort((hashes, counts[_bucket(hashes)]))[:few]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([node] * few, pa.binary()), pa.array(np.full(few, len(hashes), np.int32)), pa.array(np.arange(few, dtype=np.int32))], names=["key", "node", "size", "place"])
+            for node, held, behind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                yield _first_fifth(held.values.to_numpy(), node, counts, behind.values.to_numpy())
+
+    return sets.join(has, "node").select("node", "held", "low").mapInArrow(run, KEYED)
 
-    keyed = sets.mapInArrow(run, "key long, node binary, size int, place int")
-    met = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    return cut(met.where("n > 1").drop("n")).select("key", F.struct("node", "size", "place").alias("own"))
+
+def _members(keyed: DataFrame) -> DataFrame:
+    """(key, own, head, second) of keys that several nodes share: each member but the smallest node, which
+    is head. second: the key's first row, from which the head can be told."""
+    by = Window.partitionBy("key").orderBy("node")
+    own = F.struct("node", "size", "place")
+    met = keyed.select("key", own.alias("own"), F.lag("node").over(by).alias("before"), F.first(own).over(by).alias("head"))
+    return cut(met.where("before is not null and before <> own.node").select("key", "own", "head", (F.col("before") == F.col("head.node")).alias("second")))
 
 
 def _may_reach(x: str, y: str):
@@ -278,42 +327,77 @@ def _may_reach(x: str, y: str):
     return left * (NUMERATOR + DENOMINATOR) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * NUMERATOR
 
 
-def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
-    """(x, y) of the nodes of met whose sets may reach the least similarity, each pair once."""
-    return met.where(_may_reach(x, y)).select(F.greatest(f"{x}.node", f"{y}.node").alias("x"), F.least(f"{x}.node", f"{y}.node").alias("y")).distinct()
+def _near(x: str, y: str):
+    differ = sum(F.bit_count(F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}"))) for f in PRINT)
+    return (F.least(f"{x}.size", f"{y}.size") < SMALL) | (differ <= APART)
+
+
+def _first_meetings(members: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(x, y, n): each node with the heads of its keys that it may be similar to, and how many keys say so."""
+    met = members.where(_may_reach("own", "head")).groupBy(F.col("own.node").alias("x"), F.col("head.node").alias("y")).agg(F.count("*").alias("n"))
+    left, right = (firsts.select(F.col("node").alias(n), F.struct("size", *PRINT).alias(s)) for n, s in (("x", "p"), ("y", "q")))
+    return met.join(left, "x").join(right, "y").where(_near("p", "q")).select("x", "y", "n")
 
 
-def _first_meetings(members: DataFrame) -> DataFrame:
-    """Each member of a key with the first and the one before it, in the order of nodes."""
-    order = Window.partitionBy("key").orderBy("own.node")
-    met = members.select("own", F.first("own").over(order).alias("head"), F.lag("own").over(order).alias("before"))
-    return _pairs(met.select("own", F.explode(F.array("head", "before")).alias("other")).where("other is not null and other.node <> own.node"), "own", "other")
+def _best(met: DataFrame) -> DataFrame:
+    """Of each x, the y of most keys."""
+    return met.groupBy("x").agg(F.max(F.struct("n", "y")).alias("best")).select("x", "best.y")
 
 
-def _other_meetings(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """All members of a key that are in different parts. Parts are paired before their members are, so that
-    a key's large group costs its own rows only."""
-    placed = members.join(parts.toDF("of", "part"), F.col("own.node") == F.col("of"), "left").select("key", "own", F.coalesce("part", "own.node").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    placed = cut(placed.join(mixed, "key", "left_semi"))
-    release(members.sparkSession)
+def _placed(members: DataFrame, parts: DataFrame, wide: int) -> tuple[DataFrame, DataFrame | None]:
+    """(key, own, part) of keys whose members are in different parts, and the keys with over ``wide`` parts."""
+    everyone = members.select("key", "own").unionByName(members.where("second").select("key", F.col("head").alias("own")))
+    held = everyone.join(parts.toDF("of", "part"), F.col("own.node") == F.col("of"), "left").select("key", "own", F.coalesce("part", "own.node").alias("part"))
+    mixed = held.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    placed = cut(held.join(mixed, "key", "left_semi"))
+    crowded = cut(placed.select("key", "part").distinct().groupBy("key").count().where(F.col("count") > wide).select("key"))
+    return placed, None if crowded.isEmpty() else crowded
+
+
+def _other_meetings(placed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(x, y) of all members of a key that are in different parts and may be similar. Parts are paired before
+    their members are, so that a key's large group costs its own rows only."""
+    known = firsts.select("node", F.struct("size", *PRINT).alias("print"))
+    held = placed.join(known, F.col("own.node") == F.col("node")).select("key", "own", "part", "print")
     inside = placed.select("key", "part").distinct()
     across = inside.toDF("key", "p").join(inside.toDF("key", "q"), "key").where("p < q")
-    met = across.join(placed.toDF("key", "x", "p"), ["key", "p"]).join(placed.toDF("key", "y", "q"), ["key", "q"])
-    return _pairs(met, "x", "y")
+    met = across.join(held.toDF("key", "x", "p", "xs"), ["key", "p"]).join(held.toDF("key", "y", "q", "ys"), ["key", "q"])
+    return met.where(_may_reach("x", "y") & _near("xs", "ys")).select(F.greatest("x.node", "y.node").alias("x"), F.least("x.node", "y.node").alias("y")).distinct()
+
+
+def _held(rows: DataFrame, firsts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, held): the whole sets of nodes, read again from the texts that first have them."""
+    reps = firsts.join(nodes, "node", "left_semi").select(F.col("first").alias("rep")).distinct()
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                sets = [(_node(h), h) for h in (shingles(t, shingle) for t in batch.column(1).slice(at, SLICE_ROWS).to_pylist())]
+                fresh = {n: h for n, h in sets if n is not None and n not in seen}
+                seen.update(fresh)
+                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(list(fresh.values()), pa.list_(pa.int64()))], names=["node", "held"])
+
+    texts = rows.join(reps, F.col("id") == F.col("rep"), "left_semi").select("id", "text")
+    return cut(texts.mapInArrow(run, "node binary, held array<long>").groupBy("node").agg(F.first("held").alias("held")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b): the pairs whose sets have the least Jaccard similarity."""
+def _verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
+    """Edges (a, b): the pairs (x, y) whose sets have the least Jaccard similarity."""
+    pairs = cut(pairs)
+    sets = _held(rows, firsts, pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), shingle)
     left, right = (sets.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("x", "p"), ("y", "q")))
     both = F.size(F.array_intersect("p", "q"))
     alike = both * (NUMERATOR + DENOMINATOR) >= (F.size("p") + F.size("q")) * NUMERATOR
-    return pairs.join(left, "x").join(right, "y").where(alike).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = cut(pairs.join(left, "x").join(right, "y").where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    drop(pairs, sets)
+    return edges
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, all columns, with the row of the smallest id of each group of similar(). Rows with a null id
-    stay; of rows that repeat an id, one stays."""
+    stay, as do null, empty and blank texts; of rows that repeat an id, one stays. An empty table gives an
+    empty result."""
     at = f"c{place_of(docs, id_col)}"
     groups = similar(docs, id_col=id_col, text_col=text_col, **options).toDF("of", "component_id")
     lead = cut(groups.where("of = component_id").groupBy("of").count())

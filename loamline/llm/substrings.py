@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .base import cut, pick, release, scratch_dir, text_bytes
+from .base import cut, drop, pick, scratch_dir, text_bytes
 from .induced import Sorter
 
 LENGTH = 100
@@ -281,11 +280,12 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "do
     repeated = _has_repeated_rows(rows)
     spots = rows.select("key", "sum", "text").where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length), "h long, key long, sum long, first long, more int")
     spots = spots.distinct() if repeated else spots
-    by = Window.partitionBy("h").orderBy("key", "sum", "first")
-    again = spots.withColumn("shared", F.lag("h").over(by).isNotNull() | F.lead("h").over(by).isNotNull()).where("shared")
+    # Counted before they move, and joined back in a way that Spark can split: a common line's anchor is no task's alone.
+    shared = cut(spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    again = spots.join(shared, "h", "left_semi")
     grouped = again.groupBy("key", "sum").agg(F.collect_list(F.struct("h", "first", "more")).alias("spots"))
     grouped = cut(grouped.select("key", "sum", F.col("spots.h").alias("hs"), F.col("spots.first").alias("firsts"), F.col("spots.more").alias("mores")))
-    release(docs.sparkSession)
+    drop(shared)
     total = grouped.agg(F.sum(F.aggregate("mores", F.lit(0).cast("long"), lambda a, m: a + m + length))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // shard_bytes) + 1)
     texts = rows.select("key", "sum", "text").dropDuplicates(["key", "sum"]) if repeated else rows.select("key", "sum", "text")
@@ -294,7 +294,6 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "do
     shard = records.repartition(shards, "h").sortWithinPartitions("h", "record", "key", "sum", "first")
     found = shard.mapInArrow(_sort_shard(length), "key long, sum long, first long, lows array<long>, highs array<long>")
     own = cut(found.groupBy("key", "sum").agg(F.collect_list(F.struct("first", "lows", "highs")).alias("own")))
-    release(docs.sparkSession)
     ranges = grouped.drop("hs").join(own, ["key", "sum"], "left")
     met = rows.join(ranges, ["key", "sum"], "left").select("id", "text", "firsts", "mores", "own")
     id_type = rows.schema["id"].dataType.simpleString()

@@ -131,8 +131,8 @@ def plain_print(text, n=4):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-@pytest.mark.parametrize("wide", [512, 2])
-def test_near_duplicates_are_those_of_all_pairs(spark, wide):
+@pytest.mark.parametrize(("wide", "distance"), [(512, 4), (2, 4), (2, 3)])
+def test_near_duplicates_are_those_of_all_pairs(spark, wide, distance):
     texts = [None, "", "One", "one", "a b c d", "A b c  d", "a b c d e", "naïve Ä x y z"]
     for seed in range(6):
         base = prose(seed, 150).split()
@@ -142,8 +142,8 @@ def test_near_duplicates_are_those_of_all_pairs(spark, wide):
             texts.append(" ".join(base))
     rows = list(enumerate(texts))
     prints = {i: plain_print(t) for i, t in rows}
-    want = joined(prints, [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), wide=wide).collect()
+    want = joined(prints, [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= distance])
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), wide=wide, distance=distance).collect()
     assert {r["doc_id"]: r["fp"] % (1 << 64) for r in got} == prints
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) < len(rows) - 20
 
@@ -194,8 +194,8 @@ def alike(one, two):
     return len(a & b) / len(a | b)
 
 
-def groups_of(spark, texts):
-    got = simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+def groups_of(spark, texts, **options):
+    got = simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options).collect()
     return {r["doc_id"]: r["component_id"] for r in got}
 
 
@@ -217,8 +217,10 @@ def test_pairs_at_the_least_similarity_at_every_size(spark):
         assert all(got[i] == i for i in range(len(texts), len(texts) + more))
 
 
-def test_true_pairs_among_relatives(spark):
-    """Texts of one template that are mostly no copies of each other, against all pairs by brute force."""
+@pytest.mark.parametrize("wide", [512, 3])
+def test_true_pairs_among_relatives(spark, wide):
+    """Texts of one template that are mostly no copies of each other, against all pairs by brute force; with
+    keys compared as they are, and with all but the least ones put behind the others."""
     rng, base, texts = random.Random(5), prose(9, 60).split(), []
     for i in range(400):
         words = list(base)
@@ -227,7 +229,19 @@ def test_true_pairs_among_relatives(spark):
         texts.append(" ".join(words))
     split = [t.split() for t in texts]
     want = joined(range(400), [(a, b) for a, b in itertools.combinations(range(400), 2) if alike(split[a], split[b]) >= 0.8])
-    assert groups_of(spark, texts) == want and len(set(want.values())) > 20
+    assert groups_of(spark, texts, wide=wide) == want and len(set(want.values())) > 20
+
+
+def test_a_passage_that_all_texts_share(spark):
+    """Its keys are crowded; the pairs of near copies among its texts are found by their other shingles."""
+    passage, texts = prose(1, 60), []
+    for i in range(60):
+        own = prose(100 + i, 90).split()
+        texts += [" ".join(own) + " " + passage, " ".join([*own[:40], "changed", *own[41:]]) + " " + passage] if i % 3 else [" ".join(own[:30]) + " " + passage]
+    split = [t.split() for t in texts]
+    n = len(texts)
+    want = joined(range(n), [(a, b) for a, b in itertools.combinations(range(n), 2) if alike(split[a], split[b]) >= 0.8])
+    assert groups_of(spark, texts, wide=4) == groups_of(spark, texts) == want and len(set(want.values())) == 60
 
 
 def gray(image):
