@@ -12,6 +12,7 @@ components with rows in proportion to the group.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from hashlib import blake2b
 from itertools import combinations
 from math import comb, log2
@@ -160,6 +161,10 @@ SKETCH_BITS = 16
 #: whose bits don't follow that rule, are not judged by it.
 FAMILY, APART, SMALL = 8, 126, 64
 PRINT = [f"f{k}" for k in range(FAMILY)]
+#: Members of a key that all others meet first, and how many of the closest of them are decided.
+HUBS, CLOSEST = 8, 2
+#: Parts that may share a key before it is put behind the others; shingles of a block that is compared at once.
+CROWD, BLOCK = 2048, 2_000_000
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -167,7 +172,7 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
-def similar(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", wide: int = WIDE) -> DataFrame:
+def similar(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", wide: int = CROWD) -> DataFrame:
     """(id, component_id): groups of near copies, the components of all pairs of texts whose sets of
     shingles have a Jaccard similarity of 0.8 or more.
 
@@ -175,10 +180,11 @@ def similar(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col:
     shingle; these are the keys, at any size of the table. The order is rare shingles first, by a sketch
     of their counts, so that common lines and templates are seldom keys. Texts of one key are compared by
     sizes and places, then by the Hamming distance of wide SimHash fingerprints, and what is left is
-    decided by the whole sets. Each text first meets the smallest of its keys that it shares most; then
-    all members of a key that are still in different parts meet. A key with over ``wide`` such parts is
-    put behind all others in the order, and the texts that hold one are keyed anew, which again misses no
-    pair; only keys that stay as wide for want of other shingles are compared whole.
+    decided by the whole sets. Each text first meets a few members of each key, the same ones for all, and
+    the closest are decided; then all members of a key that are still in different parts, each text
+    sent once a key. A key with over ``wide`` such parts is put behind all others in the order, and the
+    texts that hold one are keyed anew, which again misses no pair; only keys that stay as wide for want
+    of other shingles are compared whole, in blocks of bounded size.
 
     Exact copies (of the shingles) are one from the start. Null, empty and blank texts have no group:
     their component_id is their own id. Rows with a null id are left out; repeated rows come out as often
@@ -188,10 +194,12 @@ def similar(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col:
     kind = rows.schema["id"].dataType.simpleString()
     read = cut(rows.mapInArrow(_read(shingle), f"id {kind}, node binary, size int, {', '.join(f'{f} long' for f in PRINT)}, counts binary"))
     ids = read.where("counts is null").select("id", "node")
-    firsts = cut(read.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.first("size").alias("size"), *(F.first(f).alias(f) for f in PRINT)))
+    firsts = cut(read.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.struct(F.first("size").alias("size"), *(F.first(f).alias(f) for f in PRINT)).alias("print")))
     order = docs.sparkSession.sparkContext.broadcast(_counts(read))
-    members = _members(rows.mapInArrow(_keys(shingle, order), KEYED))
-    linked = _verified(_best(_first_meetings(members, firsts)), rows, firsts, shingle)
+    # The tables' sizes decide no join with texts: they always move once, so that all sizes behave alike.
+    texts = (rows if ids.groupBy("id").count().where("count > 1").isEmpty() else rows.dropDuplicates(["id", "text"])).hint("merge")
+    members = _members(rows.mapInArrow(_keys(shingle, order), KEYED), firsts)
+    linked = _decided(_closest(members), firsts, texts, shingle)
     parts = cut(connected_components(linked))
     low = None
     while True:
@@ -200,15 +208,15 @@ def similar(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col:
         if crowded is not None:
             low = cut(crowded if low is None else crowded.unionByName(low).distinct())
         last = crowded is None or (old is not None and crowded.join(old, "key", "left_anti").isEmpty())
-        met = _other_meetings(placed if last else placed.join(crowded, "key", "left_anti"), firsts)
-        linked = cut(linked.unionByName(_verified(met, rows, firsts, shingle)))
+        met = _across(placed if last else placed.join(crowded, "key", "left_anti"), firsts, texts, shingle)
+        linked = cut(linked.unionByName(met))
         parts = cut(connected_components(linked))
-        drop(members)
+        drop(members, met)
         if last:
             break
-        again = _held(rows, firsts, placed.join(crowded, "key", "left_semi").select("own.node").distinct(), shingle)
-        members = _members(_rekeyed(again, low, order))
-        drop(again, placed)
+        again = placed.join(crowded, "key", "left_semi").select(F.col("own.node").alias("node")).distinct()
+        members = _members(_rekeyed(_sets(again, firsts, texts, shingle), low, order), firsts)
+        drop(placed)
     group = cut(firsts.select("node", "first").join(parts.toDF("of", "part"), F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("part", "node").alias("part")))
     lowest = group.groupBy("part").agg(F.min("first").alias("component_id"))
     of = group.join(lowest, "part").select("node", "component_id")
@@ -311,13 +319,15 @@ def _rekeyed(sets: DataFrame, low: DataFrame, order) -> DataFrame:
     return sets.join(has, "node").select("node", "held", "low").mapInArrow(run, KEYED)
 
 
-def _members(keyed: DataFrame) -> DataFrame:
-    """(key, own, head, second) of keys that several nodes share: each member but the smallest node, which
-    is head. second: the key's first row, from which the head can be told."""
+def _members(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(key, own) of keys that several nodes share. own: node, size, place of the key, wide fingerprint."""
     by = Window.partitionBy("key").orderBy("node")
-    own = F.struct("node", "size", "place")
-    met = keyed.select("key", own.alias("own"), F.lag("node").over(by).alias("before"), F.first(own).over(by).alias("head"))
-    return cut(met.where("before is not null and before <> own.node").select("key", "own", "head", (F.col("before") == F.col("head.node")).alias("second")))
+    met = keyed.withColumn("before", F.lag("node").over(by)).withColumn("head", F.first(F.struct("node", "size", "place")).over(by))
+    met = met.where("before is not null and before <> node").select("key", "node", "place", (F.col("before") == F.col("head.node")).alias("second"), "head")
+    # The smallest node of a key is told by the row of the one after it.
+    everyone = met.select("key", F.explode(F.when(F.col("second"), F.array(F.struct("node", "place"), F.struct("head.node", "head.place"))).otherwise(F.array(F.struct("node", "place")))).alias("o"))
+    held = everyone.select("key", F.col("o.node").alias("of"), "o.place").join(firsts.select("node", "print"), F.col("of") == F.col("node"))
+    return cut(held.select("key", F.struct("node", "print.size", "place", "print").alias("own")))
 
 
 def _may_reach(x: str, y: str):
@@ -327,71 +337,152 @@ def _may_reach(x: str, y: str):
     return left * (NUMERATOR + DENOMINATOR) >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * NUMERATOR
 
 
-def _near(x: str, y: str):
-    differ = sum(F.bit_count(F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}"))) for f in PRINT)
-    return (F.least(f"{x}.size", f"{y}.size") < SMALL) | (differ <= APART)
+def _differ(x: str, y: str):
+    return sum(F.bit_count(F.col(f"{x}.print.{f}").bitwiseXOR(F.col(f"{y}.print.{f}"))) for f in PRINT)
 
 
-def _first_meetings(members: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(x, y, n): each node with the heads of its keys that it may be similar to, and how many keys say so."""
-    met = members.where(_may_reach("own", "head")).groupBy(F.col("own.node").alias("x"), F.col("head.node").alias("y")).agg(F.count("*").alias("n"))
-    left, right = (firsts.select(F.col("node").alias(n), F.struct("size", *PRINT).alias(s)) for n, s in (("x", "p"), ("y", "q")))
-    return met.join(left, "x").join(right, "y").where(_near("p", "q")).select("x", "y", "n")
+def _near(x: str, y: str):
+    return _may_reach(x, y) & ((F.least(f"{x}.size", f"{y}.size") < SMALL) | (_differ(x, y) <= APART))
 
 
-def _best(met: DataFrame) -> DataFrame:
-    """Of each x, the y of most keys."""
-    return met.groupBy("x").agg(F.max(F.struct("n", "y")).alias("best")).select("x", "best.y")
+def _closest(members: DataFrame) -> DataFrame:
+    """(x, y): each node with the closest few of those it meets. Of each key all members meet the same few,
+    the least by each of some hashes, so that keys with like members have like ones to meet."""
+    hubs = members.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("own", F.xxhash64("own.node", F.lit(k))) for k in range(HUBS)))).alias("hubs"))
+    met = members.join(hubs, "key").select("own", F.explode("hubs").alias("hub")).where((F.col("own.node") != F.col("hub.node")) & _near("own", "hub"))
+    pairs = met.groupBy(F.col("own.node").alias("x"), F.col("hub.node").alias("y")).agg(F.min(_differ("own", "hub")).alias("differ"))
+    best = pairs.groupBy("x").agg(*(F.min_by("y", F.struct("differ", F.xxhash64("y", F.lit(k)))).alias(f"y{k}") for k in range(CLOSEST)))
+    return best.select("x", F.explode(F.array_distinct(F.array(*(f"y{k}" for k in range(CLOSEST))))).alias("y")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
 def _placed(members: DataFrame, parts: DataFrame, wide: int) -> tuple[DataFrame, DataFrame | None]:
-    """(key, own, part) of keys whose members are in different parts, and the keys with over ``wide`` parts."""
-    everyone = members.select("key", "own").unionByName(members.where("second").select("key", F.col("head").alias("own")))
-    held = everyone.join(parts.toDF("of", "part"), F.col("own.node") == F.col("of"), "left").select("key", "own", F.coalesce("part", "own.node").alias("part"))
+    """(key, own, part) of members of a key that another part's member may be similar to, and the keys that
+    have over ``wide`` parts of them."""
+    held = members.join(parts.toDF("of", "part"), F.col("own.node") == F.col("of"), "left").select("key", "own", F.coalesce("part", "own.node").alias("part"))
     mixed = held.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    placed = cut(held.join(mixed, "key", "left_semi"))
+    x = cut(held.join(mixed, "key", "left_semi"))
+    y = x.toDF("ykey", "other", "ypart")
+    # Only whether there is one is asked, so no pair becomes a row.
+    placed = cut(x.join(y, (F.col("key") == F.col("ykey")) & (F.col("part") != F.col("ypart")) & _near("own", "other"), "left_semi"))
+    drop(x)
     crowded = cut(placed.select("key", "part").distinct().groupBy("key").count().where(F.col("count") > wide).select("key"))
     return placed, None if crowded.isEmpty() else crowded
 
 
-def _other_meetings(placed: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(x, y) of all members of a key that are in different parts and may be similar. Parts are paired before
-    their members are, so that a key's large group costs its own rows only."""
-    known = firsts.select("node", F.struct("size", *PRINT).alias("print"))
-    held = placed.join(known, F.col("own.node") == F.col("node")).select("key", "own", "part", "print")
-    inside = placed.select("key", "part").distinct()
-    across = inside.toDF("key", "p").join(inside.toDF("key", "q"), "key").where("p < q")
-    met = across.join(held.toDF("key", "x", "p", "xs"), ["key", "p"]).join(held.toDF("key", "y", "q", "ys"), ["key", "q"])
-    return met.where(_may_reach("x", "y") & _near("xs", "ys")).select(F.greatest("x.node", "y.node").alias("x"), F.least("x.node", "y.node").alias("y")).distinct()
+def _with_text(nodes: DataFrame, firsts: DataFrame, texts: DataFrame, node: str, text: str) -> DataFrame:
+    """nodes with the text that first has the set ``node``; texts of other rows with its id come along."""
+    reps = firsts.select(F.col("node").alias("rep_node"), F.col("first").alias("rep"))
+    named = nodes.join(reps, F.col(node) == F.col("rep_node")).drop("rep_node")
+    return named.join(texts.select("id", F.col("text").alias(text)), F.col("rep") == F.col("id")).drop("rep", "id")
+
+
+def _set_of(shingle: int):
+    """From (node, text) to the set, or None if the text is another's; the last ones are kept."""
+
+    @lru_cache(maxsize=256)
+    def held(node: bytes, text: str) -> np.ndarray | None:
+        found = shingles(text, shingle)
+        return found if _node(found) == node else None
 
+    return held
 
-def _held(rows: DataFrame, firsts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, held): the whole sets of nodes, read again from the texts that first have them."""
-    reps = firsts.join(nodes, "node", "left_semi").select(F.col("first").alias("rep")).distinct()
+
+def _sets(nodes: DataFrame, firsts: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, held): whole sets."""
 
     def run(batches):
-        seen = set()
+        of = _set_of(shingle)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                sets = [(_node(h), h) for h in (shingles(t, shingle) for t in batch.column(1).slice(at, SLICE_ROWS).to_pylist())]
-                fresh = {n: h for n, h in sets if n is not None and n not in seen}
-                seen.update(fresh)
-                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(list(fresh.values()), pa.list_(pa.int64()))], names=["node", "held"])
+                part = batch.slice(at, SLICE_ROWS)
+                got = [(n, h) for n, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if (h := of(n, t)) is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.binary()), pa.array([h for _, h in got], pa.list_(pa.int64()))], names=["node", "held"])
+
+    return cut(_with_text(nodes, firsts, texts, "node", "text").select("node", "text").mapInArrow(run, "node binary, held array<long>"))
 
-    texts = rows.join(reps, F.col("id") == F.col("rep"), "left_semi").select("id", "text")
-    return cut(texts.mapInArrow(run, "node binary, held array<long>").groupBy("node").agg(F.first("held").alias("held")))
 
+def _alike(shared, one, other):
+    return shared * (NUMERATOR + DENOMINATOR) >= (one + other) * NUMERATOR
 
-def _verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
+
+def _decided(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Edges (a, b): the pairs (x, y) whose sets have the least Jaccard similarity."""
-    pairs = cut(pairs)
-    sets = _held(rows, firsts, pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), shingle)
-    left, right = (sets.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("x", "p"), ("y", "q")))
-    both = F.size(F.array_intersect("p", "q"))
-    alike = both * (NUMERATOR + DENOMINATOR) >= (F.size("p") + F.size("q")) * NUMERATOR
-    edges = cut(pairs.join(left, "x").join(right, "y").where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    drop(pairs, sets)
-    return edges
+
+    def run(batches):
+        of = _set_of(shingle)
+        for batch in batches:
+            keep = []
+            for x, y, p, q in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                one, two = of(x, p), of(y, q)
+                keep.append(one is not None and two is not None and bool(_alike(len(np.intersect1d(one, two, True)), len(one), len(two))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = _with_text(cut(pairs), firsts, texts, "x", "p")
+    return cut(_with_text(left, firsts, texts, "y", "q").select("x", "y", "p", "q").mapInArrow(run, "a binary, b binary").distinct())
+
+
+def _across(placed: DataFrame, firsts: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Edges (a, b) that join the parts of each key's members as all pairs of them would. A key of more than
+    BLOCK shingles is cut into blocks, each of which meets each."""
+    sizes = placed.groupBy("key").agg(F.ceil(F.sum(F.col("own.size").cast("long")) / BLOCK).alias("n"))
+    blocks = sizes.where("n > 1").withColumnRenamed("key", "of")
+    k = F.pmod(F.xxhash64("own.node"), F.coalesce("n", F.lit(1)))
+    dealt = placed.join(blocks, F.col("key") == F.col("of"), "left").withColumn("k", k)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(1)) - 1), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j")))
+    named = dealt.select("key", F.explode(F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(meets)).alias("at"), "k", F.col("own.node").alias("node"), "part")
+    rows = _with_text(named.select("key", "at.i", "at.j", "k", "node", "part"), firsts, texts, "node", "text").select("key", "i", "j", "node", "part", "text")
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_joined(shingle), "a binary, b binary").distinct())
+
+
+def _joined(shingle: int):
+    def run(batches):
+        of, last, nodes, parts, sets = _set_of(shingle), None, [], [], []
+
+        def edges():
+            a, b = _edges(parts, sets)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in a], pa.binary()), pa.array([nodes[i] for i in b], pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for *at, node, part, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if at != last and nodes:
+                    yield edges()
+                    nodes, parts, sets = [], [], []
+                last = at
+                held = of(node, text)
+                if held is not None and (not nodes or nodes[-1] != node):
+                    nodes.append(node)
+                    parts.append(part)
+                    sets.append(held)
+        if nodes:
+            yield edges()
+
+    return run
+
+
+def _edges(parts: list[bytes], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Members whose similarity joins their parts, until none is left to join. Shingles that one member has
+    are in no overlap; the others are bits."""
+    sizes = np.array([len(h) for h in sets])
+    _, label = np.unique(np.array(parts, object), return_inverse=True)
+    found, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), sizes)[times[inverse] > 1]
+    at = column[inverse[times[inverse] > 1]]
+    bits = np.zeros((len(sets), int((times > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (owner, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    a, b = [], []
+    for i in range(1, len(sets)):
+        other = np.flatnonzero(label[:i] != label[i])
+        fits = _alike(np.minimum(sizes[other], sizes[i]), sizes[other], sizes[i])
+        for low in range(0, len(other := other[fits]), 256):
+            some = other[low : low + 256]
+            for j in some[_alike(np.bitwise_count(bits[some] & bits[i]).sum(1, dtype=np.int64), sizes[some], sizes[i])].tolist():
+                if label[j] != label[i]:
+                    a.append(i)
+                    b.append(j)
+                    label[label == label[j]] = label[i]
+    return a, b
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
