@@ -422,15 +422,16 @@ def _decided(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, shingle: int
 
 
 def _across(placed: DataFrame, firsts: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Edges (a, b) that join the parts of each key's members as all pairs of them would. A key of more than
-    BLOCK shingles is cut into blocks, each of which meets each."""
-    sizes = placed.groupBy("key").agg(F.ceil(F.sum(F.col("own.size").cast("long")) / BLOCK).alias("n"))
-    blocks = sizes.where("n > 1").withColumnRenamed("key", "of")
-    k = F.pmod(F.xxhash64("own.node"), F.coalesce("n", F.lit(1)))
-    dealt = placed.join(blocks, F.col("key") == F.col("of"), "left").withColumn("k", k)
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(1)) - 1), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j")))
-    named = dealt.select("key", F.explode(F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(meets)).alias("at"), "k", F.col("own.node").alias("node"), "part")
-    rows = _with_text(named.select("key", "at.i", "at.j", "k", "node", "part"), firsts, texts, "node", "text").select("key", "i", "j", "node", "part", "text")
+    """Edges (a, b) that join the parts of each key's members as all pairs of them would. Of keys with the
+    same members one is enough. A key of more than BLOCK shingles is cut into blocks, each of which meets each."""
+    mark = lambda seed: F.sum(F.xxhash64("own.node", F.lit(seed)).cast("decimal(38,0)"))
+    sizes = placed.groupBy("key").agg(F.ceil(F.sum(F.col("own.size").cast("long")) / BLOCK).alias("n"), F.count("*").alias("members"), mark(0).alias("one"), mark(1).alias("two"))
+    kept = sizes.groupBy("members", "one", "two").agg(F.min(F.struct("key", "n")).alias("kept")).select("kept.key", "kept.n")
+    k = F.pmod(F.xxhash64("own.node"), F.col("n"))
+    dealt = placed.join(kept, "key").withColumn("k", k)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j")))
+    named = dealt.select("key", F.explode(meets).alias("at"), F.col("own.node").alias("node"), "part").select("key", "at.i", "at.j", "node", "part")
+    rows = _with_text(named, firsts, texts, "node", "text").select("key", "i", "j", "node", "part", "text")
     n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_joined(shingle), "a binary, b binary").distinct())
 

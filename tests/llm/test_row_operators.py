@@ -218,7 +218,7 @@ def test_pairs_at_the_least_similarity_at_every_size(spark):
 
 
 @pytest.mark.parametrize("wide", [512, 3])
-def test_true_pairs_among_relatives(spark, wide):
+def test_true_pairs_among_relatives(spark, wide, monkeypatch):
     """Texts of one template that are mostly no copies of each other, against all pairs by brute force; with
     keys compared as they are, and with all but the least ones put behind the others."""
     rng, base, texts = random.Random(5), prose(9, 60).split(), []
@@ -230,6 +230,9 @@ def test_true_pairs_among_relatives(spark, wide):
     split = [t.split() for t in texts]
     want = joined(range(400), [(a, b) for a, b in itertools.combinations(range(400), 2) if alike(split[a], split[b]) >= 0.8])
     assert groups_of(spark, texts, wide=wide) == want and len(set(want.values())) > 20
+    monkeypatch.setattr(simhash, "BLOCK", 2000)
+    monkeypatch.setattr(simhash, "HUBS", 1)
+    assert wide < 512 or groups_of(spark, texts) == want
 
 
 def test_a_passage_that_all_texts_share(spark):
