@@ -1,28 +1,28 @@
 """Local image descriptors for media columns: cropped and edited copies.
 
 An image (portable graymap or pixmap, or PNG of 8 bits a channel) is scaled down by halves; corners are
-strict local maxima of the Harris response at each scale; the patch around each is turned by the
-direction of its intensity centroid and read as 128 comparisons of pixel pairs. Descriptors are cut into
-four 32-bit keys, one table each, so two that differ in up to three bits share a key. Within a key every
-corner meets every other, as the votes of a pair of images must add up and links are counted; a meeting is
-verified by the Hamming distance. Meetings of two images vote for a similarity transform (scale step,
-turn, shift); images are linked when enough different corners agree on one. Images alike in every pixel
-are one from the start. Rows grow with the square of a group of edited copies.
+local maxima of the Harris response at each scale; the patch around each is turned by the direction of
+its intensity centroid and read as 128 comparisons of pixel pairs. Descriptors are cut into four 32-bit
+words, one table each, so two that differ in up to three bits share one. Images that share a word are
+candidates, and a pair of them is decided by all its corners: those that share a word and are close by the
+Hamming distance vote for a similarity transform (scale step, turn, shift), and enough different corners
+must agree on one. Of each word all images first meet the same few; then images in different parts
+that share enough words are compared, group by group, each image's corners sent once a group, so that
+rows grow with the images and not with the square of a group of edited copies. Images alike in every
+byte are one from the start.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, pick
+from .base import cut, drop, pick
 from .graph import connected_components
 
 SCALES = 2
@@ -32,12 +32,15 @@ TESTS = 128
 LEAST_RESPONSE = 2.0e5
 APART = 12
 LEAST_VOTES = 4
-#: Shifts are compared on a grid of so many pixels.
+#: Shifts within so many pixels of each other agree.
 GRID = 3
+#: An image of more pixels is not read: it would not fit a task.
+MOST_PIXELS = 1 << 26
 
 
 def decode(raw: bytes | None) -> np.ndarray | None:
-    """Gray values as rows of floats, or None for null, empty or unreadable data."""
+    """Gray values as rows of floats, or None for null, empty or unreadable data, and for what isn't read:
+    palettes, 16 bits a channel, interlaced images, other formats, more than MOST_PIXELS pixels."""
     try:
         if not raw:
             return None
@@ -56,11 +59,13 @@ def decode(raw: bytes | None) -> np.ndarray | None:
                 at = end
             width, height, top = head
             depth = 1 if raw[:2] == b"P5" else 3
+            if width * height > MOST_PIXELS:
+                return None
             pixels = np.frombuffer(raw, np.uint8, width * height * depth, at + 1).reshape(height, width, depth)
             return pixels.mean(2, dtype=np.float32) * (255.0 / top) if 0 < top < 256 and pixels.size else None
         if raw[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(raw)
-    except (ValueError, IndexError, struct.error, zlib.error):
+    except (ValueError, IndexError, TypeError, OverflowError, struct.error, zlib.error):
         pass
     return None
 
@@ -77,9 +82,10 @@ def _png(raw: bytes) -> np.ndarray | None:
         at += 12 + size
     width, height, bits, color, _, _, laced = head
     depth = {0: 1, 2: 3, 4: 2, 6: 4}.get(color)
-    if bits != 8 or depth is None or laced or not width * height:
+    if bits != 8 or depth is None or laced or not 0 < width * height <= MOST_PIXELS:
         return None
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * depth)
+    size = height * (1 + width * depth)
+    lines = np.frombuffer(zlib.decompressobj().decompress(data, size), np.uint8).reshape(height, 1 + width * depth)
     out = np.zeros((height + 1, (width + 1) * depth), np.uint8)
     for y in range(height):
         how, line, up, now = int(lines[y, 0]), lines[y, 1:], out[y], out[y + 1]
@@ -165,74 +171,192 @@ def corners(image: np.ndarray | None) -> tuple[np.ndarray, ...]:
 
 #: Bits of a packed place: turn, x and y; the scale is above them.
 TURN_BITS, SIDE_BITS = 4, 24
+#: A corner as it is kept: its packed place and its four words.
+CORNER = np.dtype([("place", "<i8"), ("words", "<u4", 4)])
+#: Images of a key that all others meet first, and how many of those met most are decided.
+HUBS, MOST_MET = 4, 2
+#: Images of a block that is compared at once.
+BLOCK = 1024
 
 
-def _corner_rows(batches):
-    """One row a corner: the image, its place packed into one number, and the descriptor's words."""
-    names = ["node", "place", "w0", "w1", "w2", "w3"]
+def _corner_lists(batches):
+    """Per image its digest and its corners; an image that the task lately had is left out."""
+    seen = set()
     for batch in batches:
         for i in range(0, batch.num_rows, 128):
-            part = batch.slice(i, 128)
-            got = [corners(decode(raw)) for raw in part.column(1).to_pylist()]
-            counts = [len(g[0]) for g in got]
-            if sum(counts):
-                scale, x, y, turn, words = (np.concatenate([g[k] for g in got]) for k in range(5))
-                place = (((scale << SIDE_BITS | x) << SIDE_BITS | y) << TURN_BITS) | turn
-                cols = [pa.array(words[:, k].astype(np.uint32).view(np.int32)) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), counts)), pa.array(place), *cols], names=names)
+            digests, lists = [], []
+            for digest, raw in zip(*(batch.column(k).slice(i, 128).to_pylist() for k in range(2)), strict=True):
+                if digest in seen:
+                    continue
+                if len(seen) >= 1 << 16:
+                    seen.clear()
+                seen.add(digest)
+                scale, x, y, turn, words = corners(decode(raw))
+                if len(scale):
+                    held = np.zeros(len(scale), CORNER)
+                    held["place"] = (((scale << SIDE_BITS | x) << SIDE_BITS | y) << TURN_BITS) | turn
+                    held["words"] = words
+                    digests.append(digest)
+                    lists.append(held.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(lists, pa.binary())], names=["digest", "corners"])
+
+
+def _words(batches):
+    """A row a corner and table: the table and its word in one number, the image, the corner's number."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            nodes = batch.column(0).slice(i, 1024).to_numpy()
+            lists = [np.frombuffer(raw, CORNER) for raw in batch.column(1).slice(i, 1024).to_pylist()]
+            if not lists:
+                continue
+            counts = [len(held) for held in lists]
+            words = np.concatenate(lists)["words"].astype(np.int64) | np.arange(4) << 32
+            spot = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+            yield pa.RecordBatch.from_arrays([pa.array(words.ravel()), pa.array(np.repeat(np.repeat(nodes, counts), 4)), pa.array(np.repeat(spot, 4))], names=["key", "node", "spot"])
+
+
+def linked(parts: list[int], lists: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Numbers of images that are linked, until no two parts are left to join. Two images are linked if
+    LEAST_VOTES corners of each, which pairwise share a table's word and differ in at most APART bits, agree
+    on one similarity transform: equal scale step and turn, and shifts in one cell of 2 * GRID pixels on one
+    of four grids that are shifted by GRID, so that shifts within GRID of each other share a cell."""
+    _, label = np.unique(np.array(parts), return_inverse=True)
+    every = np.concatenate(lists)
+    counts = np.array([len(held) for held in lists])
+    owner, ends = np.repeat(np.arange(len(lists)), counts), np.cumsum(counts)
+    words, place = every["words"], every["place"]
+    turn, side = place & ((1 << TURN_BITS) - 1), (1 << SIDE_BITS) - 1
+    scale = place >> (TURN_BITS + 2 * SIDE_BITS)
+    x, y = ((place >> shift & side) * 2.0**scale for shift in (TURN_BITS + SIDE_BITS, TURN_BITS))
+    order = [np.argsort(words[:, t], kind="stable") for t in range(4)]
+    rising = [words[o, t] for t, o in enumerate(order)]
+    a, b = [], []
+    for i in range(1, len(lists)):
+        own = np.arange(ends[i] - counts[i], ends[i])
+        met = []
+        for t in range(4):
+            low, high = np.searchsorted(rising[t], words[own, t], "left"), np.searchsorted(rising[t], words[own, t], "right")
+            n = high - low
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            met.append(np.repeat(own, n) * len(every) + order[t][at])
+        q, p = np.divmod(np.unique(np.concatenate(met)), len(every))
+        fits = (owner[p] < i) & (label[owner[p]] != label[i])
+        q, p = q[fits], p[fits]
+        close = np.bitwise_count(words[p] ^ words[q]).sum(1) <= APART
+        q, p = q[close], p[close]
+        if len(p) < LEAST_VOTES:
+            continue
+        step, turned = scale[q] - scale[p], (turn[q] - turn[p]) % TURNS
+        angle, size = turned * (2 * np.pi / TURNS), 2.0**step
+        sx = x[q] - size * (x[p] * np.cos(angle) - y[p] * np.sin(angle))
+        sy = y[q] - size * (x[p] * np.sin(angle) + y[p] * np.cos(angle))
+        votes = np.concatenate([np.stack([owner[p], step, turned, np.full(len(p), 2 * u + v), np.floor((sx + u * GRID) / (2 * GRID)), np.floor((sy + v * GRID) / (2 * GRID)), p, q], 1).astype(np.int64) for u in (0, 1) for v in (0, 1)])
+        agreed = None
+        for end in (6, 7):  # different corners of the one image, and of the other
+            cells, n = np.unique(np.unique(votes[:, [0, 1, 2, 3, 4, 5, end]], axis=0)[:, :6], axis=0, return_counts=True)
+            enough = set(map(tuple, cells[n >= LEAST_VOTES].tolist()))
+            agreed = enough if agreed is None else agreed & enough
+        for j in sorted({cell[0] for cell in agreed}):
+            if label[j] != label[i]:
+                a.append(i)
+                b.append(j)
+                label[label == label[j]] = label[i]
+    return a, b
+
+
+def _edges(nodes: list[int], parts: list[int], lists: list[bytes]) -> pa.RecordBatch:
+    a, b = linked(parts, [np.frombuffer(raw, CORNER) for raw in lists])
+    return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in a], pa.int64()), pa.array([nodes[i] for i in b], pa.int64())], names=["a", "b"])
+
+
+def _pairs(batches):
+    for batch in batches:
+        for x, y, p, q in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            yield _edges([x, y], [x, y], [p, q])
 
 
-def _unpacked(place, what: str):
-    side = (1 << SIDE_BITS) - 1
-    shift = {"turn": 0, "y": TURN_BITS, "x": TURN_BITS + SIDE_BITS, "scale": TURN_BITS + 2 * SIDE_BITS}[what]
-    return F.shiftright(place, shift).bitwiseAND(F.lit((1 << TURN_BITS) - 1 if what == "turn" else side)).cast("int")
+def _groups(batches):
+    """Over rows of (key, i, j, node, part, corners) in order."""
+    last, nodes, parts, lists = None, [], [], []
+    for batch in batches:
+        for *at, node, part, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if at != last and nodes:
+                yield _edges(nodes, parts, lists)
+                nodes, parts, lists = [], [], []
+            last = at
+            nodes.append(node)
+            parts.append(part)
+            lists.append(raw)
+    if nodes:
+        yield _edges(nodes, parts, lists)
+
+
+def _first_links(members: DataFrame, images: DataFrame) -> DataFrame:
+    """Edges of each image with those it meets most of a few images of each of its keys, the least by each of
+    some hashes, so that keys with like members have like ones to meet."""
+    hubs = members.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(HUBS)))).alias("hubs"))
+    met = members.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    most = met.groupBy("node").agg(*(F.max_by("hub", F.struct("n", F.xxhash64("hub", F.lit(k)))).alias(f"y{k}") for k in range(MOST_MET)))
+    pairs = most.select("node", F.explode(F.array_distinct(F.array(*(f"y{k}" for k in range(MOST_MET))))).alias("y")).select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
+    left, right = (images.select(F.col("node").alias(n), F.col("corners").alias(c)) for n, c in (("x", "p"), ("y", "q")))
+    return cut(pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(_pairs, "a long, b long"))
+
+
+def _other_links(members: DataFrame, parts: DataFrame, images: DataFrame) -> DataFrame:
+    """Edges that join the parts of each key's members as all pairs of them would. Only images with
+    LEAST_VOTES corners whose keys another part has too can be linked; of keys with the same such members one
+    is enough. A key of more than BLOCK images is cut into blocks, each of which meets each."""
+    rows = members.join(parts.toDF("of", "part"), F.col("node") == F.col("of"), "left").select("key", "node", "spot", F.coalesce("part", "node").alias("part"))
+    for _ in range(3):  # each time, what went may leave others with too little
+        mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+        rows = cut(rows.join(mixed, "key", "left_semi"))
+        enough = rows.select("node", "spot").distinct().groupBy("node").count().where(F.col("count") >= LEAST_VOTES).select("node")
+        rows = cut(rows.join(enough, "node", "left_semi"))
+    placed = rows.select("key", "node", "part").distinct()
+    mark = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
+    sizes = placed.groupBy("key").agg(F.count("*").alias("members"), mark(0).alias("one"), mark(1).alias("two"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    kept = sizes.groupBy("members", "one", "two").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / BLOCK).alias("n"))
+    k = F.pmod(F.xxhash64("node"), F.col("n"))
+    dealt = placed.join(kept, "key").withColumn("k", k)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j")))
+    named = dealt.select("key", F.explode(meets).alias("at"), F.col("node").alias("of"), "part")
+    held = named.join(images.select("node", "corners"), F.col("of") == F.col("node")).select("key", "at.i", "at.j", "node", "part", "corners")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(held.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_groups, "a long, b long"))
 
 
 def image_copies(media: DataFrame, id_col: str = "doc_id", image_col: str = "image") -> DataFrame:
-    """id, component_id (smallest id that links reach, itself included) and n_links (linked different
-    images) of each row.
+    """id, component_id (smallest id that links reach, itself included) and n_images (rows of that
+    component) of each row.
 
     Null, empty and unreadable images are linked to nothing, as are images with too few corners unless
     they are alike in every byte. Rows with a null id, and rows that repeat one, come out as often as
-    they go in; a null id belongs to no group. Ids must be whole numbers. An empty table gives an empty result.
+    they go in; a null id belongs to no group. Ids must be whole numbers. An empty table gives an empty
+    result; extra columns are left out.
     """
     rows = pick(media, id=id_col, image=image_col)
-    digests = cut(rows.select("id", F.sha2("image", 256).alias("digest")))
-    firsts = cut(digests.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("n")))
-    # Of alike images, that of the smallest id is read. The others are few beside all images, so theirs
-    # is the list that the images are held against; a pair of rows with one id is read twice, which
-    # changes nothing, as an image isn't compared with itself.
-    ids = digests.where("id is not null").select(F.col("id").cast("long").alias("same"), F.col("digest").alias("d"))
-    copies = ids.join(firsts.where("n > 1"), F.col("d") == F.col("digest")).where("same <> node").select("same")
-    shown = rows.where("id is not null and octet_length(image) > 0").select(F.col("id").cast("long").alias("node"), "image")
-    spots = shown.join(copies, F.col("node") == F.col("same"), "left_anti").mapInArrow(_corner_rows, "node long, place long, w0 int, w1 int, w2 int, w3 int")
-    # A table's rows carry its word as the key and the three others, in the same order on both sides.
-    turned = F.array(*(F.struct(F.lit(t).cast("byte").alias("t"), F.col(f"w{t}").alias("word"), *(F.col(f"w{(t + k) % 4}").alias(f"v{k}") for k in (1, 2, 3))) for t in range(4)))
-    keyed = spots.select("node", "place", F.explode(turned).alias("e")).select("e.t", "e.word", "node", "place", "e.v1", "e.v2", "e.v3")
-    own, other = (keyed.select("t", "word", F.struct("node", "place", "v1", "v2", "v3").alias(s)) for s in "pq")
-    differ = sum(F.bit_count(F.col(f"p.v{k}").bitwiseXOR(F.col(f"q.v{k}"))) for k in (1, 2, 3))
-    # Two corners that agree in several words meet in the first such table only.
-    again = reduce(or_, ((F.col("t") >= 4 - k) & (F.col(f"p.v{k}") == F.col(f"q.v{k}")) for k in (1, 2, 3)))
-    pairs = own.join(other, ["t", "word"]).where((F.col("p.node") < F.col("q.node")) & (differ <= APART) & ~again).select("p", "q")
-    at = {f"{s}_{w}": _unpacked(F.col(f"{s}.place"), w) for s in "pq" for w in ("scale", "x", "y", "turn")}
-    step = F.pow(F.lit(2.0), at["q_scale"] - at["p_scale"])
-    turned = (at["q_turn"] - at["p_turn"] + TURNS) % TURNS
-    angle = turned * (2 * np.pi / TURNS)
-    size, full = F.pow(F.lit(2.0), at["p_scale"]), F.pow(F.lit(2.0), at["q_scale"])
-    px, py = at["p_x"] * size, at["p_y"] * size
-    sx = at["q_x"] * full - step * (px * F.cos(angle) - py * F.sin(angle))
-    sy = at["q_y"] * full - step * (px * F.sin(angle) + py * F.cos(angle))
-    # A corner votes once, whatever the turn it was met by.
-    spot = F.shiftright(F.col("p.place"), TURN_BITS)
-    votes = pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), (at["q_scale"] - at["p_scale"]).alias("step"), turned.alias("turned"), F.round(sx / GRID).cast("int").alias("sx"), F.round(sy / GRID).cast("int").alias("sy"), spot.alias("at"))
-    agreed = votes.distinct().groupBy("a", "b", "step", "turned", "sx", "sy").count().where(F.col("count") >= LEAST_VOTES)
-    edges = cut(agreed.select("a", "b").distinct())
-    parts = cut(connected_components(edges))
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    group = firsts.drop("n").join(parts, "node", "left").join(degree, "node", "left").select(F.col("digest").alias("of"), F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = digests.join(group, digests["digest"] == group["of"], "left")
-    known = F.col("id").isNotNull() & F.col("of").isNotNull()
-    return out.select(F.col("id").alias(id_col), F.when(known, F.col("component_id")).otherwise(F.col("id").cast("long")).alias("component_id"), F.when(known, F.col("n_links")).otherwise(0).alias("n_links"))
+    digests = cut(rows.select("id", F.unhex(F.sha2("image", 256)).alias("digest"), (F.octet_length("image") > 0).alias("shown")))
+    read = rows.where("id is not null and octet_length(image) > 0").select(F.unhex(F.sha2("image", 256)).alias("digest"), "image")
+    once = read.mapInArrow(_corner_lists, "digest binary, corners binary").groupBy("digest").agg(F.first("corners").alias("corners"))
+    images = cut(once.withColumn("node", F.monotonically_increasing_id()))
+    keyed = images.select("node", "corners").mapInArrow(_words, "key long, node long, spot int")
+    # Most words are one image's alone; they are counted before anything else of them moves.
+    shared = cut(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key"))
+    members = cut(keyed.join(shared, "key", "left_semi"))
+    drop(shared)
+    first = _first_links(members, images)
+    parts = cut(connected_components(first))
+    parts = cut(connected_components(first.unionByName(_other_links(members, parts, images))))
+    known = images.select("digest", "node").join(parts.toDF("of", "part"), F.col("node") == F.col("of"), "left").select(F.col("digest").alias("d"), F.coalesce("part", "node").alias("part"))
+    # Images alike in every byte that have no corners are a part of their own, told by the digest.
+    whole = digests.where("id is not null and shown").join(known, F.col("digest") == F.col("d"), "left").groupBy("digest").agg(F.first("part").alias("part"), F.min("id").cast("long").alias("first"), F.count("*").alias("n"))
+    group = cut(whole.withColumn("part", F.coalesce(F.col("part").cast("string"), F.hex("digest"))))
+    lowest = group.groupBy("part").agg(F.min("first").alias("component_id"), F.sum("n").alias("n_images"))
+    of = group.join(lowest, "part").select(F.col("digest").alias("d"), "component_id", "n_images")
+    in_group = F.col("id").isNotNull() & F.col("shown")
+    out = digests.where(in_group).join(of, F.col("digest") == F.col("d")).select("id", "component_id", "n_images")
+    alone = digests.where(~F.coalesce(in_group, F.lit(False))).select("id", F.col("id").cast("long").alias("component_id"), F.lit(1).cast("long").alias("n_images"))
+    return out.unionByName(alone).withColumnRenamed("id", id_col)
 
 
 WIDTH = 32
@@ -251,7 +375,8 @@ def drawn(text: str | None) -> bytes:
 
 
 def pictures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, image) with each row's whole text drawn."""
+    """(id, image) with each row's whole text drawn; null, empty and blank texts have an empty image. Repeated
+    rows come out as often as they go in; an empty table gives an empty result."""
     rows = pick(docs, id=id_col, text=text_col)
 
     def run(batches):

@@ -95,7 +95,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         plan = plan.withColumn("mix_nth", F.row_number().over(Window.partitionBy("mix_id", "mix_source", "mix_size").orderBy("mix_copies")))
         sized = sized.withColumn("nth", F.row_number().over(Window.partitionBy(at_id, at_source, "words").orderBy(at_text)))
         same = sized[at_id].eqNullSafe(plan["mix_id"]) & sized[at_source].eqNullSafe(plan["mix_source"]) & (sized["words"] == plan["mix_size"]) & (sized["nth"] == plan["mix_nth"])
-    taken = sized.join(plan.where("mix_copies > 0"), same)
+    # Rows move once at every size: whether the plan is small enough to send along is not left to its table's.
+    taken = sized.hint("merge").join(plan.where("mix_copies > 0"), same)
     kept = [(i, c) for i, c in enumerate(docs.columns) if c.lower() != "copy"]
     rows = taken.select(*(f"c{i}" for i, _ in kept), F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy"))
     return rows.toDF(*(c for _, c in kept), "copy")

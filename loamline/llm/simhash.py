@@ -348,6 +348,8 @@ def _near(x: str, y: str):
 def _closest(members: DataFrame) -> DataFrame:
     """(x, y): each node with the closest few of those it meets. Of each key all members meet the same few,
     the least by each of some hashes, so that keys with like members have like ones to meet."""
+    # Dealt by key once for both sides, as a member's row is many times what is asked of it.
+    members = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     hubs = members.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("own", F.xxhash64("own.node", F.lit(k))) for k in range(HUBS)))).alias("hubs"))
     met = members.join(hubs, "key").select("own", F.explode("hubs").alias("hub")).where((F.col("own.node") != F.col("hub.node")) & _near("own", "hub"))
     pairs = met.groupBy(F.col("own.node").alias("x"), F.col("hub.node").alias("y")).agg(F.min(_differ("own", "hub")).alias("differ"))
@@ -358,9 +360,10 @@ def _closest(members: DataFrame) -> DataFrame:
 def _placed(members: DataFrame, parts: DataFrame, wide: int) -> tuple[DataFrame, DataFrame | None]:
     """(key, own, part) of members of a key that another part's member may be similar to, and the keys that
     have over ``wide`` parts of them."""
-    held = members.join(parts.toDF("of", "part"), F.col("own.node") == F.col("of"), "left").select("key", "own", F.coalesce("part", "own.node").alias("part"))
-    mixed = held.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    x = cut(held.join(mixed, "key", "left_semi"))
+    with_part = lambda rows: rows.join(parts.toDF("of", "part"), F.col("own.node") == F.col("of"), "left").withColumn("part", F.coalesce("part", "own.node")).drop("of")
+    slim = with_part(members.select("key", F.struct("own.node").alias("own")))
+    mixed = slim.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    x = cut(with_part(members.join(mixed, "key", "left_semi")))
     y = x.toDF("ykey", "other", "ypart")
     # Only whether there is one is asked, so no pair becomes a row.
     placed = cut(x.join(y, (F.col("key") == F.col("ykey")) & (F.col("part") != F.col("ypart")) & _near("own", "other"), "left_semi"))

@@ -268,7 +268,7 @@ def test_png_filters(how):
     assert (media.decode(png(image, how)) == image).all() and (media.decode(gray(image)) == image).all()
 
 
-@pytest.mark.parametrize("raw", [None, b"", b"P5", b"P5 3 3 255\nab", b"\x89PNG\r\n\x1a\nxx", b"GIF89a", b"P6 1 1 255\nabc"])
+@pytest.mark.parametrize("raw", [None, b"", b"P5", b"P5 3 3 255\nab", b"\x89PNG\r\n\x1a\nxx", b"GIF89a", b"P6 1 1 255\nabc", b"\x89PNG\r\n\x1a\n", b"P5 99999999999999 99999999999999 255\n", b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", 90000, 90000, 8, 0, 0, 0, 0) + b"0000"])
 def test_unreadable_images(raw):
     got = media.decode(raw)
     assert got is None or got.shape == (1, 1)
@@ -289,18 +289,70 @@ def test_crops_edits_and_turns_are_found(spark):
     assert media.image_copies(frame.limit(0)).count() == 0
 
 
+def blocky(rng, size=12):
+    return np.kron(rng.integers(0, 256, (size, size)), np.ones((4, 4)))
+
+
+def copies_of(spark, images):
+    rows = [(i, gray(image)) for i, image in enumerate(images)]
+    got = media.image_copies(spark.createDataFrame(rows, "doc_id long, image binary").repartition(8)).collect()
+    return {r["doc_id"]: (r["component_id"], r["n_images"]) for r in got}
+
+
 def test_large_group_of_edited_pictures(spark):
-    """A thousand copies, each with its own noise in one corner: all link to all, and links are counted."""
+    """A thousand copies, each with its own noise in one corner: all are one group."""
     rng = np.random.default_rng(3)
-    base = np.kron(rng.integers(0, 256, (12, 12)), np.ones((4, 4)))
-    rows = []
-    for i in range(1000):
-        copy = base.copy()
-        copy[36:, 36:] = rng.integers(0, 256, (12, 12))
-        rows.append((i, gray(copy)))
-    rows += [(2000 + i, gray(np.kron(rng.integers(0, 256, (12, 12)), np.ones((4, 4))))) for i in range(20)]
-    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in media.image_copies(spark.createDataFrame(rows, "doc_id long, image binary").repartition(8)).collect()}
-    assert all(got[i] == (0, 999) for i in range(1000)) and all(got[2000 + i] == (2000 + i, 0) for i in range(20))
+    base, images = blocky(rng), []
+    for _ in range(1000):
+        images.append(base.copy())
+        images[-1][36:, 36:] = rng.integers(0, 256, (12, 12))
+    got = copies_of(spark, images + [blocky(rng) for _ in range(20)])
+    assert all(got[i] == (0, 1000) for i in range(1000)) and all(got[1000 + i] == (1000 + i, 1) for i in range(20))
+
+
+def plain_links(images):
+    """All pairs of images by all pairs of corners, whatever words they share: a corner of each within APART
+    bits, LEAST_VOTES different ones on one step and turn with all shifts within GRID of one of them."""
+    found, out = [media.corners(i) for i in images], set()
+    for i, j in itertools.combinations(range(len(images)), 2):
+        votes = {}
+        for p, q in zip(*np.nonzero(np.bitwise_count(found[i][4][:, None] ^ found[j][4][None]).sum(2) <= media.APART), strict=True):
+            (a, x, y, t), (b, u, v, s) = ([int(found[k][c][at]) for c in range(4)] for k, at in ((i, p), (j, q)))
+            angle, size = (s - t) % media.TURNS * 2 * np.pi / media.TURNS, 2.0 ** (b - a)
+            shift = (u * 2**b - size * (x * 2**a * np.cos(angle) - y * 2**a * np.sin(angle)), v * 2**b - size * (x * 2**a * np.sin(angle) + y * 2**a * np.cos(angle)))
+            votes.setdefault((b - a, (s - t) % media.TURNS), []).append((shift, p, q))
+        for same in votes.values():
+            near = [[(p, q) for d, p, q in same if max(abs(d[0] - c[0]), abs(d[1] - c[1])) <= media.GRID / 2] for c, _, _ in same]
+            if any(min(len({p for p, _ in n}), len({q for _, q in n})) >= media.LEAST_VOTES for n in near):
+                out.add((i, j))
+    return out
+
+
+def test_links_of_all_pairs_are_found(spark):
+    """Sixty pictures with noise, crops, turns and their like, against all pairs of all corners."""
+    rng, images = np.random.default_rng(5), []
+    for _ in range(15):
+        base = blocky(rng)
+        noisy = np.clip(base + rng.integers(-3, 4, base.shape), 0, 255)
+        images += [base, noisy, base[6:, 4:], np.rot90(noisy).copy()]
+    want, got = plain_links(images), copies_of(spark, images)
+    found = sum(got[i][0] == got[j][0] for i, j in want)
+    print(f"{found} of {len(want)} links")
+    assert len(want) > 40 and found >= 0.9 * len(want)
+    assert all(got[i][0] // 4 == i // 4 for i in range(60))  # no group holds two pictures
+
+
+def test_images_in_blocks(spark, monkeypatch):
+    """The same groups where images meet no hub of theirs first and groups are cut into blocks."""
+    rng = np.random.default_rng(7)
+    base, images = blocky(rng), []
+    for _ in range(40):
+        images.append(base.copy())
+        images[-1][36:, 36:] = rng.integers(0, 256, (12, 12))
+    want = copies_of(spark, images)
+    monkeypatch.setattr(media, "BLOCK", 10)
+    monkeypatch.setattr(media, "_first_links", lambda members, images: members.sparkSession.createDataFrame([], "a long, b long"))
+    assert copies_of(spark, images) == want == {i: (0, 40) for i in range(40)}
 
 
 def test_drawn_texts(odd):
