@@ -9,6 +9,7 @@ passes whose hits are united, so the broadcast stays bounded whatever the benchm
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -88,6 +89,17 @@ class Windows:
         return hit, items
 
 
+#: The last set that this worker has built, by its name; its next tasks need not build it again.
+_BUILT: dict[str, Windows] = {}
+
+
+def built(name: str, items: list[tuple[str, bytes]], window: int) -> Windows:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Windows(items, window)
+    return _BUILT[name]
+
+
 def spans_of(hit: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of hit words as (first, end)."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
@@ -124,10 +136,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
     schema = f"id {id_type}, text string, n_words long, spans array<struct<first:long,end:long>>, items array<string>"
     rows = rows.select("id", F.col("text").cast("string").alias("text"), F.array().cast("array<struct<first:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for part in _passes(benchmark, item_col, item_text_col, max_windows):
-        shared = sc.broadcast(part)
+        shared, name = sc.broadcast(part), uuid4().hex
 
-        def task(shared=shared):
-            found = Windows(shared.value, window)
+        def task(shared=shared, name=name):
+            found = built(name, shared.value, window)
 
             def each(c):
                 out = {"id": c["id"], "text": c["text"], "n_words": [], "spans": [], "items": []}
@@ -168,12 +180,12 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, d
     for part in passes:
         if not part:
             continue
-        shared = sc.broadcast(part)
+        shared, name = sc.broadcast(part), uuid4().hex
 
-        def clean(batches, shared=shared):
+        def clean(batches, shared=shared, name=name):
             import pyarrow as pa
 
-            found = Windows(shared.value, window)
+            found = built(name, shared.value, window)
             for batch in batches:
                 keep, texts = [], []
                 for text in batch.column(at).to_pylist():

@@ -215,12 +215,34 @@ def _words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(words.ravel()), pa.array(np.repeat(np.repeat(nodes, counts), 4)), pa.array(np.repeat(spot, 4))], names=["key", "node", "spot"])
 
 
+def _hopeful(label: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """Which images have LEAST_VOTES corners that share a table's word with an image of another part."""
+    counts = np.array([len(held) for held in lists])
+    key = (np.concatenate(lists)["words"].astype(np.int64) | np.arange(4) << 32).ravel()
+    owner = np.repeat(np.arange(len(lists)), counts)
+    order = np.argsort(key, kind="stable")
+    key, part = key[order], np.repeat(label[owner], 4)[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+    shared = np.empty(len(key), bool)
+    shared[order] = np.repeat(mixed, np.diff(np.append(starts, len(key))))
+    return np.bincount(owner[shared.reshape(-1, 4).any(1)], minlength=len(lists)) >= LEAST_VOTES
+
+
 def linked(parts: list[int], lists: list[np.ndarray]) -> tuple[list[int], list[int]]:
     """Numbers of images that are linked, until no two parts are left to join. Two images are linked if
     LEAST_VOTES corners of each, which pairwise share a table's word and differ in at most APART bits, agree
     on one similarity transform: equal scale step and turn, and shifts in one cell of 2 * GRID pixels on one
     of four grids that are shifted by GRID, so that shifts within GRID of each other share a cell."""
     _, label = np.unique(np.array(parts), return_inverse=True)
+    numbers = np.arange(len(lists))
+    while True:  # those without hope go, which may leave others without
+        hope = _hopeful(label, lists)
+        if hope.sum() < 2:
+            return [], []
+        if hope.all():
+            break
+        label, numbers, lists = label[hope], numbers[hope], [lists[k] for k in np.flatnonzero(hope)]
     every = np.concatenate(lists)
     counts = np.array([len(held) for held in lists])
     owner, ends = np.repeat(np.arange(len(lists)), counts), np.cumsum(counts)
@@ -258,8 +280,8 @@ def linked(parts: list[int], lists: list[np.ndarray]) -> tuple[list[int], list[i
             agreed = enough if agreed is None else agreed & enough
         for j in sorted({cell[0] for cell in agreed}):
             if label[j] != label[i]:
-                a.append(i)
-                b.append(j)
+                a.append(int(numbers[i]))
+                b.append(int(numbers[j]))
                 label[label == label[j]] = label[i]
     return a, b
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
@@ -27,7 +28,7 @@ DIGITS, SMALL, LARGE, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüß"
 #: Dates from here to the end are permuted among each other; others stay.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-KINDS = ("secret", "email", "iban", "ip", "date", "ssn", "card", "phone")
+KINDS = ("secret", "email", "iban", "ip", "date", "ssn", "card", "phone", "national")
 
 PATTERNS = {
     "secret": re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)\b["']?\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9_\-+/]{16,})"""),
@@ -38,6 +39,7 @@ PATTERNS = {
     "ssn": re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     "card": re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{4,5})(?!\d)"),
     "phone": re.compile(r"(?<![\w+])\+\d(?:[ .\-]?\(?\d+\)?){2,6}(?!\d)"),
+    "national": re.compile(r"(?<![\w.+\-/(])(?:\([2-9]\d\d\) ?|[2-9]\d\d([\-. ]))[2-9]\d\d(?(1)\1|[\-. ])\d{4}(?![\w\-]|\.\d)"),
 }
 
 
@@ -78,8 +80,15 @@ class Feistel:
                 return x
 
 
+@lru_cache(maxsize=4096)
 def alphabet_of(c: str) -> str | None:
-    return next((a for a in (DIGITS, SMALL, LARGE, ACCENTED) if c in a), None)
+    """The characters that c may become: digits, letters of its case, or, for a letter beyond those, the
+    letters of its kind among the 64 code points around it. Others stay: None."""
+    known = next((a for a in (DIGITS, SMALL, LARGE, ACCENTED) if c in a), None)
+    if known or not c.isalpha():
+        return known
+    low, kind = ord(c) & ~63, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(low, low + 64)) if x.isalpha() and unicodedata.category(x) == kind and x not in ACCENTED)
 
 
 def luhn(digits: str) -> int:
@@ -164,16 +173,17 @@ class Pseudonyms:
                 ((m[8], m[7], m[5]), lambda d, w: f"{d.day:0{w[2]}d}{m[6]}{d.month:0{w[1]}d}{m[6]}{d.year:04d}"),
                 ((m[8], m[5], m[7]), lambda d, w: f"{d.month:0{w[1]}d}{m[6]}{d.day:0{w[2]}d}{m[6]}{d.year:04d}"),
             ]
-        for k, (parts, write) in enumerate(orders):
+        for parts, write in orders:
             try:
                 at = datetime.date(*map(int, parts)).toordinal()
             except ValueError:
                 continue
             if not FIRST_DAY <= at <= LAST_DAY:
                 return None
-            # Month first is only read where day first can't be; its pseudonyms must read so again.
-            good = (lambda x: datetime.date.fromordinal(FIRST_DAY + x).day > 12) if k else (lambda x: True)
-            y = self.net.permute(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, f"date{k}", self.back, good)
+            # Month first is only read where day first can't be, so days over 12 go to such days: a day has
+            # one pseudonym in all ways to write it, and each way reads again as it was.
+            late = datetime.date.fromordinal(at).day > 12
+            y = self.net.permute(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", self.back, lambda x: (datetime.date.fromordinal(FIRST_DAY + x).day > 12) == late)
             widths = [len(p) for p in parts]
             return write(datetime.date.fromordinal(FIRST_DAY + y), widths)
         return None
@@ -197,10 +207,17 @@ class Pseudonyms:
         code = 1 if digits[0] in "17" else 2  # the country's code stays
         return fill(value, digits[:code] + self._text(digits[code:], f"phone{digits[:code]}", [DIGITS] * (len(digits) - code)))
 
+    def national(self, value: str) -> str | None:
+        """Ten digits, area and exchange from 2 up; so are those of the pseudonym."""
+        good = lambda x: x // 10**9 > 1 and x // 10**4 % 1000 > 199
+        x = int(re.sub(r"\D", "", value))
+        return fill(value, f"{self.net.permute(x, 10**10, 'national', self.back, good):010d}")
+
 
 def pseudonymise(text: str | None, names: Pseudonyms) -> tuple[str | None, list[str]]:
     """text with every checked value replaced, and the kinds replaced in text order. Of values that
-    overlap, the kind that is earlier in KINDS has the characters."""
+    overlap, the kind that is earlier in KINDS has the characters. A value that is its own pseudonym (one of
+    a few characters may be) is not counted as replaced."""
     if not text:
         return text, []
     digit = any(map(text.__contains__, DIGITS))
@@ -216,7 +233,7 @@ def pseudonymise(text: str | None, names: Pseudonyms) -> tuple[str | None, list[
             if k and free[k - 1][1] > a:
                 continue
             new = names.apply(kind, text[a:b])
-            if new is not None:
+            if new is not None and new != text[a:b]:
                 taken.append((a, b, kind, new))
     out, end = [], 0
     taken.sort()
@@ -250,7 +267,8 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
 
 
 def with_pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """docs, all columns, with the text pseudonymised."""
+    """docs, all columns, with the text pseudonymised. Null and empty texts stay, repeated rows come out as
+    often as they go in, an empty table gives an empty result."""
     rows, at = plain(docs), place_of(docs, text_col)
 
     def run(batches):

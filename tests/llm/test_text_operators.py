@@ -131,6 +131,21 @@ def test_pseudonyms_keep_format_and_links():
     assert pii.pseudonymise(TEXT, pii.Pseudonyms(b"other"))[0] != got
 
 
+@pytest.mark.parametrize("text", ["иван@example.com", "ÉÀÈ@example.com", "山田太郎@example.com", "call (212) 555-7713", "or 212-555-7713."])
+def test_other_letters_and_national_numbers(text):
+    got, kinds = pii.pseudonymise(text, pii.Pseudonyms(b"k"))
+    assert got != text and len(kinds) == 1 and pii.pseudonymise(got, pii.Pseudonyms(b"k", True)) == (text, kinds)
+    assert [c.isalpha() for c in got] == [c.isalpha() for c in text]
+
+
+def test_a_day_has_one_pseudonym():
+    names = pii.Pseudonyms(b"k")
+    for day, month in ((31, 12), (13, 1), (28, 2), (4, 5)):
+        iso, first, second = (names.apply("date", f.format(d=day, m=month)) for f in ("1985-{m:02d}-{d:02d}", "{d:02d}/{m:02d}/1985", "{m:02d}/{d:02d}/1985"))
+        assert iso.split("-") == first.split("/")[::-1]
+        assert day <= 12 or [second.split("/")[k] for k in (2, 0, 1)] == iso.split("-")
+
+
 def test_what_is_not_valid_stays():
     names = pii.Pseudonyms(b"k")
     for text in ("4111111111111112", "300.1.1.1", "2023-02-30", "000-12-3456", "GB00 WEST 1234 5698 7654 32", "a@b", "version 1.2.3", "", None, "+12"):
