@@ -119,11 +119,14 @@ def class_row(c: ast.ClassDef) -> dict:
 
 
 def read(source: str | None) -> dict | None:
-    """functions, classes and imports, or None if it doesn't parse."""
+    """functions, classes and imports, or None if it doesn't parse or is nested too deeply to be walked."""
     try:
-        tree = ast.parse(source or "")
+        return _rows(ast.parse(source or ""))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
+
+
+def _rows(tree: ast.Module) -> dict:
     functions, classes, imports = [], [], set()
     for s in tree.body:
         if isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef):

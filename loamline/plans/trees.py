@@ -14,7 +14,8 @@ def read(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lang(name: str, what):
-    return lambda s, d: what(read(s, d).where(f"lang = '{name}'"))
+    """Only the language's files are parsed."""
+    return lambda s, d: what(code.parsed(code.sources(made.tree(s, d)).where(f"lang = '{name}'")))
 
 
 CLASS_COLUMNS = ["file_path", "class_name", "field_count", "method_count", "behavior_method_count", "dunder_method_count", "property_count", "dbsi", "logic_density", "orchestration_pressure", "ams"]

@@ -67,7 +67,14 @@ class RunStore:
         """All committed rows of a table, columns of any version."""
         if not self._exists(f"{self.root}/{name}"):
             return None
-        frame = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}").withColumn("run_id", F.col("run_id").cast("string"))
+        # Ids are text: else Spark would read "007" in a folder's name as the number 7.
+        guess, conf = "spark.sql.sources.partitionColumnTypeInference.enabled", self.spark.conf
+        before = conf.get(guess)
+        conf.set(guess, "false")
+        try:
+            frame = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}")
+        finally:
+            conf.set(guess, before)
         return frame.where(F.col("run_id").isin(self.committed()))
 
     def runs(self) -> DataFrame:
@@ -90,7 +97,7 @@ class RunStore:
         return self.runs().select("repo_path").distinct().orderBy("repo_path")
 
     def child(self, name: str, run_id: str) -> DataFrame:
-        """A run's rows of a child table; the filter prunes to the run's own folder. KeyError for a name or
+        """A run's rows of a child table, read from its own folder only. KeyError for a name or
         a run that isn't known; no rows if the run has none."""
         if name not in CHILDREN:
             raise KeyError(name)
@@ -98,7 +105,7 @@ class RunStore:
             raise KeyError(run_id)
         if not self._exists(f"{self.root}/{name}/run_id={run_id}"):
             return self.spark.createDataFrame([], "run_id string")
-        return self._table(name).where(F.col("run_id") == run_id)
+        return self.spark.read.parquet(f"{self.root}/{name}/run_id={run_id}").withColumn("run_id", F.lit(run_id))
 
     def compare(self, a: str, b: str) -> DataFrame:
         """One row: both ids and the differences as a map, rounded to six digits."""

@@ -110,3 +110,10 @@ def test_imports_and_reports(spark):
     assert code.complexity_report(code.functions(read)).first()["total_functions"] == 1
     assert code.anemic_report(read).first()["total_classes"] == 0
     assert code.god_class_report(read, code.god_classes(read)).first()["god_class_percentage"] == 0.0
+
+
+def test_deep_nesting_has_no_rows():
+    from loamline.functions import python_code
+
+    deep = "def f(x):\n    if x == 0:\n        pass\n" + "".join(f"    elif x == {i}:\n        pass\n" for i in range(900))
+    assert python_code.read(deep) is None and len(python_code.read("def f(): pass")["functions"]) == 1
