@@ -177,6 +177,8 @@ CORNER = np.dtype([("place", "<i8"), ("words", "<u4", 4)])
 HUBS, MOST_MET = 4, 2
 #: Images of a block that is compared at once.
 BLOCK = 1024
+#: Corners of the groups that are read together, and corner pairs that are looked at together.
+TOGETHER, PAIRS = 1 << 16, 1 << 15
 
 
 def _corner_lists(batches):
@@ -215,102 +217,157 @@ def _words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(words.ravel()), pa.array(np.repeat(np.repeat(nodes, counts), 4)), pa.array(np.repeat(spot, 4))], names=["key", "node", "spot"])
 
 
-def _hopeful(label: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
-    """Which images have LEAST_VOTES corners that share a table's word with an image of another part."""
-    counts = np.array([len(held) for held in lists])
-    key = (np.concatenate(lists)["words"].astype(np.int64) | np.arange(4) << 32).ravel()
-    owner = np.repeat(np.arange(len(lists)), counts)
+def _shared(groups: np.ndarray, label: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Per corner and table a number that equal words of a group have in common, and whether another part of
+    the group has that word too."""
+    owner = np.repeat(np.arange(len(lists)), [len(held) for held in lists])
+    key = (groups[owner][:, None] << 34 | np.arange(4) << 32 | np.concatenate(lists)["words"].astype(np.int64)).ravel()
     order = np.argsort(key, kind="stable")
-    key, part = key[order], np.repeat(label[owner], 4)[order]
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sorted_key, part = key[order], np.repeat(label[owner], 4)[order]
+    starts = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
     mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
     shared = np.empty(len(key), bool)
     shared[order] = np.repeat(mixed, np.diff(np.append(starts, len(key))))
-    return np.bincount(owner[shared.reshape(-1, 4).any(1)], minlength=len(lists)) >= LEAST_VOTES
-
-
-def linked(parts: list[int], lists: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Numbers of images that are linked, until no two parts are left to join. Two images are linked if
-    LEAST_VOTES corners of each, which pairwise share a table's word and differ in at most APART bits, agree
-    on one similarity transform: equal scale step and turn, and shifts in one cell of 2 * GRID pixels on one
-    of four grids that are shifted by GRID, so that shifts within GRID of each other share a cell."""
-    _, label = np.unique(np.array(parts), return_inverse=True)
-    numbers = np.arange(len(lists))
+    return key, shared
+
+
+def _agreed(pair: np.ndarray, cell: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Pairs of images of which LEAST_VOTES corners of each are in one cell."""
+    _, code = np.unique(pair, return_inverse=True)
+    for side in cell:
+        side = side - side.min()
+        _, code = np.unique(code * (int(side.max()) + 1) + side, return_inverse=True)
+    enough = np.ones(int(code.max()) + 1, bool)
+    for end in (p, q):
+        size = int(end.max()) + 1
+        enough &= np.bincount(np.unique(code * size + end) // size, minlength=len(enough)) >= LEAST_VOTES
+    return np.unique(pair[enough[code]])
+
+
+def linked(groups: list[int], parts: list[int], lists: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Numbers of images of a group that are linked, until no two parts of it are left to join. Two images are
+    linked if LEAST_VOTES corners of each, which pairwise share a table's word and differ in at most APART bits,
+    agree on one similarity transform: equal scale step and turn, and shifts in one cell of 2 * GRID pixels on
+    one of four grids that are shifted by GRID, so that shifts within GRID of each other share a cell.
+
+    Groups are numbered from 0. All of them are compared at once, PAIRS corner pairs at a time."""
+    groups, numbers = np.array(groups, np.int64), np.arange(len(lists))
+    label = np.unique(groups * len(lists) + np.unique(np.array(parts), return_inverse=True)[1], return_inverse=True)[1]
     while True:  # those without hope go, which may leave others without
-        hope = _hopeful(label, lists)
-        if hope.sum() < 2:
+        key, shared = _shared(groups, label, lists)
+        ends = np.cumsum([len(held) for held in lists])
+        hope = np.add.reduceat(shared.reshape(-1, 4).any(1).astype(np.int64), np.concatenate(([0], ends[:-1]))) >= LEAST_VOTES
+        if not hope.any():
             return [], []
         if hope.all():
             break
-        label, numbers, lists = label[hope], numbers[hope], [lists[k] for k in np.flatnonzero(hope)]
+        groups, label, numbers, lists = groups[hope], label[hope], numbers[hope], [lists[k] for k in np.flatnonzero(hope)]
     every = np.concatenate(lists)
-    counts = np.array([len(held) for held in lists])
-    owner, ends = np.repeat(np.arange(len(lists)), counts), np.cumsum(counts)
+    owner = np.repeat(np.arange(len(lists)), [len(held) for held in lists])
     words, place = every["words"], every["place"]
     turn, side = place & ((1 << TURN_BITS) - 1), (1 << SIDE_BITS) - 1
     scale = place >> (TURN_BITS + 2 * SIDE_BITS)
     x, y = ((place >> shift & side) * 2.0**scale for shift in (TURN_BITS + SIDE_BITS, TURN_BITS))
-    order = [np.argsort(words[:, t], kind="stable") for t in range(4)]
-    rising = [words[o, t] for t, o in enumerate(order)]
-    a, b = [], []
-    for i in range(1, len(lists)):
-        own = np.arange(ends[i] - counts[i], ends[i])
-        met = []
-        for t in range(4):
-            low, high = np.searchsorted(rising[t], words[own, t], "left"), np.searchsorted(rising[t], words[own, t], "right")
-            n = high - low
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            met.append(np.repeat(own, n) * len(every) + order[t][at])
-        q, p = np.divmod(np.unique(np.concatenate(met)), len(every))
-        fits = (owner[p] < i) & (label[owner[p]] != label[i])
-        q, p = q[fits], p[fits]
-        close = np.bitwise_count(words[p] ^ words[q]).sum(1) <= APART
-        q, p = q[close], p[close]
-        if len(p) < LEAST_VOTES:
+    # In the order of words and parts, a corner's partners are those of its word in the parts before its own.
+    entries = np.flatnonzero(shared)
+    key, part = key[entries], label[owner[entries >> 2]]
+    order = np.lexsort((part, key))
+    another = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    fresh = another | np.concatenate(([True], part[order][1:] != part[order][:-1]))
+    spots = np.arange(len(order))
+    low, many = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    low[order] = np.maximum.accumulate(np.where(another, spots, 0))
+    many[order] = np.maximum.accumulate(np.where(fresh, spots, 0))
+    many -= low
+    order, total = entries[order], np.concatenate(([0], np.cumsum(many)))
+    edge = np.searchsorted(entries, 4 * np.concatenate(([0], ends)))
+
+    def met(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Close corners of the entries from lo to hi and their partners, each pair by its first table."""
+        n = many[lo:hi]
+        q = np.repeat(entries[lo:hi], n)
+        p = order[np.arange(len(q)) - np.repeat(total[lo:hi] - total[lo], n) + np.repeat(low[lo:hi], n)]
+        table, q, p = q & 3, q >> 2, p >> 2
+        apart = label[owner[q]] != label[owner[p]]
+        table, q, p = table[apart], q[apart], p[apart]
+        bits = words[p] ^ words[q]
+        fits = (np.bitwise_count(bits).sum(1) <= APART) & ((bits == 0).argmax(1) == table)
+        return p[fits], q[fits]
+
+    a, b, i = [], [], 0
+    while i < len(lists):
+        j = max(i + 1, int(np.searchsorted(total[edge], total[edge[i]] + PAIRS, "right")) - 1)
+        found, lo = [], int(edge[i])
+        while lo < edge[j]:
+            hi = min(int(edge[j]), max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1))
+            found.append(met(lo, hi))
+            lo = hi
+        i = j
+        if not found:
+            continue
+        p, q = (np.concatenate([pairs[k] for pairs in found]) for k in (0, 1))
+        pair = owner[q] * len(lists) + owner[p]
+        _, which, n = np.unique(pair, return_inverse=True, return_counts=True)
+        often = n[which] >= LEAST_VOTES
+        p, q, pair = p[often], q[often], pair[often]
+        if not len(p):
             continue
         step, turned = scale[q] - scale[p], (turn[q] - turn[p]) % TURNS
         angle, size = turned * (2 * np.pi / TURNS), 2.0**step
         sx = x[q] - size * (x[p] * np.cos(angle) - y[p] * np.sin(angle))
         sy = y[q] - size * (x[p] * np.sin(angle) + y[p] * np.cos(angle))
-        votes = np.concatenate([np.stack([owner[p], step, turned, np.full(len(p), 2 * u + v), np.floor((sx + u * GRID) / (2 * GRID)), np.floor((sy + v * GRID) / (2 * GRID)), p, q], 1).astype(np.int64) for u in (0, 1) for v in (0, 1)])
-        agreed = None
-        for end in (6, 7):  # different corners of the one image, and of the other
-            cells, n = np.unique(np.unique(votes[:, [0, 1, 2, 3, 4, 5, end]], axis=0)[:, :6], axis=0, return_counts=True)
-            enough = set(map(tuple, cells[n >= LEAST_VOTES].tolist()))
-            agreed = enough if agreed is None else agreed & enough
-        for j in sorted({cell[0] for cell in agreed}):
-            if label[j] != label[i]:
-                a.append(int(numbers[i]))
-                b.append(int(numbers[j]))
-                label[label == label[j]] = label[i]
+        across, down = ([np.floor((shift + u * GRID) / (2 * GRID)).astype(np.int64) for u in (0, 1)] for shift in (sx, sy))
+        agreed = np.concatenate([_agreed(pair, [step, turned, across[u], down[v]], p, q) for u in (0, 1) for v in (0, 1)])
+        for one, other in zip(*(side.tolist() for side in np.divmod(np.unique(agreed), len(lists))), strict=True):
+            if label[one] != label[other]:
+                a.append(int(numbers[one]))
+                b.append(int(numbers[other]))
+                label[label == label[other]] = label[one]
     return a, b
 
 
-def _edges(nodes: list[int], parts: list[int], lists: list[bytes]) -> pa.RecordBatch:
-    a, b = linked(parts, [np.frombuffer(raw, CORNER) for raw in lists])
+def _edges(groups: list[int], nodes: list[int], parts: list[int], lists: list[bytes]) -> pa.RecordBatch:
+    a, b = linked(groups, parts, [np.frombuffer(raw, CORNER) for raw in lists])
     return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in a], pa.int64()), pa.array([nodes[i] for i in b], pa.int64())], names=["a", "b"])
 
 
+def _compared(rows):
+    """Edges of rows of (key, node, part, corners) in order of the key; whole groups are compared together until
+    they have TOGETHER corners."""
+    last, size, groups, nodes, parts, lists = None, 0, [], [], [], []
+    for at, node, part, raw in rows:
+        if at != last and size >= TOGETHER:
+            yield _edges(groups, nodes, parts, lists)
+            size, groups, nodes, parts, lists = 0, [], [], [], []
+        groups.append((groups[-1] + (at != last)) if groups else 0)
+        last = at
+        size += len(raw) // CORNER.itemsize
+        nodes.append(node)
+        parts.append(part)
+        lists.append(raw)
+    if nodes:
+        yield _edges(groups, nodes, parts, lists)
+
+
 def _pairs(batches):
-    for batch in batches:
-        for x, y, p, q in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            yield _edges([x, y], [x, y], [p, q])
+    def rows():
+        for batch in batches:
+            for x, y, p, q in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                yield (x, y), x, x, p
+                yield (x, y), y, y, q
+
+    return _compared(rows())
 
 
 def _groups(batches):
     """Over rows of (key, i, j, node, part, corners) in order."""
-    last, nodes, parts, lists = None, [], [], []
-    for batch in batches:
-        for *at, node, part, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-            if at != last and nodes:
-                yield _edges(nodes, parts, lists)
-                nodes, parts, lists = [], [], []
-            last = at
-            nodes.append(node)
-            parts.append(part)
-            lists.append(raw)
-    if nodes:
-        yield _edges(nodes, parts, lists)
+
+    def rows():
+        for batch in batches:
+            for *at, node, part, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                yield at, node, part, raw
+
+    return _compared(rows())
 
 
 def _first_links(members: DataFrame, images: DataFrame) -> DataFrame:
