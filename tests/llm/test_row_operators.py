@@ -386,3 +386,70 @@ def test_registered_queries_run_on_the_smallest_tables(spark):
 
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n.startswith("op")] == list(range(1, 11)) and "pipeline" in queries.QUERIES
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def _corners_of(text):
+    scale, x, y, turn, words = media.corners(media.decode(media.drawn(text)))
+    held = np.zeros(len(scale), media.CORNER)
+    held["place"] = (((scale << media.SIDE_BITS | x) << media.SIDE_BITS | y) << media.TURN_BITS) | turn
+    held["words"] = words
+    return held
+
+
+def _plainly_linked(one, other):
+    """Every corner of the one image with every corner of the other."""
+    side, cells = (1 << media.SIDE_BITS) - 1, {}
+    for p, a in enumerate(one):
+        for q, b in enumerate(other):
+            if not (a["words"] == b["words"]).any() or sum(bin(int(v)).count("1") for v in a["words"] ^ b["words"]) > media.APART:
+                continue
+            (sa, xa, ya, ta), (sb, xb, yb, tb) = ((int(c) >> 52, (int(c) >> 28) & side, (int(c) >> 4) & side, int(c) & 15) for c in (a["place"], b["place"]))
+            step, turned = sb - sa, (tb - ta) % media.TURNS
+            angle, size = turned * 2 * np.pi / media.TURNS, 2.0**step
+            xa, ya, xb, yb = xa * 2.0**sa, ya * 2.0**sa, xb * 2.0**sb, yb * 2.0**sb
+            sx, sy = xb - size * (xa * np.cos(angle) - ya * np.sin(angle)), yb - size * (xa * np.sin(angle) + ya * np.cos(angle))
+            for u in (0, 1):
+                for v in (0, 1):
+                    cell = (step, turned, u, v, np.floor((sx + u * media.GRID) / (2 * media.GRID)), np.floor((sy + v * media.GRID) / (2 * media.GRID)))
+                    ends = cells.setdefault(cell, (set(), set()))
+                    ends[0].add(p)
+                    ends[1].add(q)
+    return any(min(len(ps), len(qs)) >= media.LEAST_VOTES for ps, qs in cells.values())
+
+
+def _classes(parts, edges):
+    label = list(parts)
+    for i, j in edges:
+        old, label = label[j], [label[i] if v == label[j] else v for v in label]
+    return [label.index(v) for v in label]
+
+
+@pytest.mark.parametrize("pairs", [7, 300, 1 << 15])
+def test_linked_images_are_those_of_a_plain_comparison(monkeypatch, pairs):
+    monkeypatch.setattr(media, "PAIRS", pairs)
+    rng = np.random.default_rng(3)
+    groups = []
+    for _ in range(4):
+        bases = [[f"w{n}" for n in rng.integers(0, 5000, 500)] for _ in range(3)]
+        lists = []
+        for k in range(9):
+            text = list(bases[k % 3])
+            for at in rng.integers(0, 500, 6 * k):
+                text[at] = "other"
+            lists.append(_corners_of(" ".join(text)))
+        groups.append(([0, 0, *range(1, 8)], lists))
+    every = [(g, part, held) for g, (parts, lists) in enumerate(groups) for part, held in zip(parts, lists, strict=True)]
+    a, b = media.linked(*(list(side) for side in zip(*every, strict=True)))
+    joined = 0
+    for g, (parts, lists) in enumerate(groups):
+        plain = [(i, j) for j in range(9) for i in range(j) if _plainly_linked(lists[i], lists[j])]
+        own = [(i - 9 * g, j - 9 * g) for i, j in zip(a, b, strict=True) if i // 9 == g]
+        assert _classes(parts, own) == _classes(parts, plain)
+        joined += len(own)
+    assert joined and all(i // 9 == j // 9 for i, j in zip(a, b, strict=True))
+
+
+def test_linked_images_of_nothing_shared():
+    lists = [_corners_of(" ".join(f"{k}x{n}" for n in range(400))) for k in range(3)]
+    assert media.linked([0, 0, 0], [0, 1, 2], lists) == ([], [])
+    assert media.linked([0, 1], [0, 1], [lists[0], lists[0]]) == ([], [])
