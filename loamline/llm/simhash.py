@@ -425,18 +425,34 @@ def _decided(pairs: DataFrame, firsts: DataFrame, texts: DataFrame, shingle: int
 
 
 def _across(placed: DataFrame, firsts: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Edges (a, b) that join the parts of each key's members as all pairs of them would. Of keys with the
-    same members one is enough. A key of more than BLOCK shingles is cut into blocks, each of which meets each."""
-    mark = lambda seed: F.sum(F.xxhash64("own.node", F.lit(seed)).cast("decimal(38,0)"))
-    sizes = placed.groupBy("key").agg(F.ceil(F.sum(F.col("own.size").cast("long")) / BLOCK).alias("n"), F.count("*").alias("members"), mark(0).alias("one"), mark(1).alias("two"))
-    kept = sizes.groupBy("members", "one", "two").agg(F.min(F.struct("key", "n")).alias("kept")).select("kept.key", "kept.n")
-    k = F.pmod(F.xxhash64("own.node"), F.col("n"))
-    dealt = placed.join(kept, "key").withColumn("k", k)
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j")))
-    named = dealt.select("key", F.explode(meets).alias("at"), F.col("own.node").alias("node"), "part").select("key", "at.i", "at.j", "node", "part")
+    """Edges (a, b) that join the parts of each key's members as all pairs of them would. Members that keys
+    lead to from each other are a neighbourhood; one of at most BLOCK shingles is compared whole, each text sent
+    once. A larger one goes key by key, of keys with the same members one is enough, and a key of more than
+    BLOCK shingles is cut into blocks, each of which meets each."""
+    slim = cut(placed.select("key", F.col("own.node").alias("node"), F.col("own.size").alias("size"), "part"))
+    least = slim.groupBy("key").agg(F.min("node").alias("b"))
+    around = connected_components(slim.join(least, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
+    near = cut(slim.select("node", "size", "part").distinct().join(around.toDF("of", "around"), F.col("node") == F.col("of")).select("node", "size", "part", "around"))
+    large = cut(near.groupBy("around").agg(F.sum(F.col("size").cast("long")).alias("n")).where(F.col("n") > BLOCK).select("around"))
+    # Two neighbourhoods with one hash would only be compared together.
+    named = near.join(large, "around", "left_anti").select(F.xxhash64("around").alias("key"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "node", "part")
+    if not large.isEmpty():
+        named = named.unionByName(_by_key(slim.join(near.join(large, "around", "left_semi").select("node"), "node", "left_semi")))
     rows = _with_text(named, firsts, texts, "node", "text").select("key", "i", "j", "node", "part", "text")
     n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_joined(shingle), "a binary, b binary").distinct())
+    out = cut(rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_joined(shingle), "a binary, b binary").distinct())
+    drop(slim, around, near, large)
+    return out
+
+
+def _by_key(slim: DataFrame) -> DataFrame:
+    """(key, i, j, node, part): each member of a key in each pair of blocks that its own is one of."""
+    mark = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
+    sizes = slim.groupBy("key").agg(F.ceil(F.sum(F.col("size").cast("long")) / BLOCK).alias("n"), F.count("*").alias("members"), mark(0).alias("one"), mark(1).alias("two"))
+    kept = sizes.groupBy("members", "one", "two").agg(F.min(F.struct("key", "n")).alias("kept")).select("kept.key", "kept.n")
+    dealt = slim.join(kept, "key").withColumn("k", F.pmod(F.xxhash64("node"), F.col("n")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j")))
+    return dealt.select("key", F.explode(meets).alias("at"), "node", "part").select("key", "at.i", "at.j", "node", "part")
 
 
 def _joined(shingle: int):
