@@ -381,17 +381,29 @@ def _first_links(members: DataFrame, images: DataFrame) -> DataFrame:
     return cut(pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(_pairs, "a long, b long"))
 
 
+def _rarest(rows: DataFrame) -> DataFrame:
+    """rows (key, node, spot, part) without each image's most frequent words as long as they are words of fewer
+    than LEAST_VOTES of its corners. Linked images share words of LEAST_VOTES corners of each; the first of these
+    words in an order that is the same for all images is left in both. Words of about as many rows are in the
+    order of the corner where they are first, so that a corner's words go together."""
+    order = F.struct(F.floor(F.log2(F.count("*"))).alias("n"), F.min(F.struct("node", "spot")).alias("at"), F.col("key").alias("last"))
+    ordered = cut(rows.join(rows.groupBy("key").agg(order.alias("rank")), "key"))
+    tops = ordered.groupBy("node", "spot").agg(F.max("rank").alias("top"))
+    least = tops.groupBy("node").agg(F.sort_array(F.collect_list("top"), False).alias("tops")).select("node", F.get("tops", F.lit(LEAST_VOTES - 1)).alias("top"))
+    return ordered.join(least, "node").where(F.col("rank") <= F.col("top")).select(*rows.columns)
+
+
 def _other_links(members: DataFrame, parts: DataFrame, images: DataFrame) -> DataFrame:
     """Edges that join the parts of each key's members as all pairs of them would. Only images with
-    LEAST_VOTES corners whose keys another part has too can be linked; of keys with the same such members one
-    is enough. A key of more than BLOCK images is cut into blocks, each of which meets each."""
+    LEAST_VOTES corners whose keys another part has too can be linked, and share one of their rarer keys; of
+    keys with the same such members one is enough. A key of more than BLOCK images is cut into blocks, each of which meets each."""
     rows = members.join(parts.toDF("of", "part"), F.col("node") == F.col("of"), "left").select("key", "node", "spot", F.coalesce("part", "node").alias("part"))
     for _ in range(3):  # each time, what went may leave others with too little
         mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
         rows = cut(rows.join(mixed, "key", "left_semi"))
         enough = rows.select("node", "spot").distinct().groupBy("node").count().where(F.col("count") >= LEAST_VOTES).select("node")
         rows = cut(rows.join(enough, "node", "left_semi"))
-    placed = rows.select("key", "node", "part").distinct()
+    placed = _rarest(rows).select("key", "node", "part").distinct()
     mark = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("members"), mark(0).alias("one"), mark(1).alias("two"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
     kept = sizes.groupBy("members", "one", "two").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / BLOCK).alias("n"))
