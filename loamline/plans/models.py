@@ -112,7 +112,7 @@ def effort_attributions(spark: SparkSession, d: str) -> DataFrame:
 
 def complexity(spark: SparkSession, d: str) -> DataFrame:
     """Per part: the made Python file's complexity, under the part's number."""
-    per = code.file_complexity(code.functions(code.parsed(code.sources(made.tree(spark, d)).where("lang = 'python'"))))
+    per = code.file_complexity(code.functions(code.parsed(code.sources(made.tree(spark, d)).where("lang = 'python'"), ("functions",))))
     return per.withColumn("file_path", F.regexp_extract("file_path", r"(\d+)", 1).cast("bigint"))
 
 

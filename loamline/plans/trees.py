@@ -9,37 +9,42 @@ from ..sources import made
 from .oracle import rounded
 
 
-def read(spark: SparkSession, d: str) -> DataFrame:
-    return code.parsed(code.sources(made.tree(spark, d)))
+def files(spark: SparkSession, d: str) -> DataFrame:
+    return code.sources(made.tree(spark, d))
 
 
-def lang(name: str, what):
+def read(spark: SparkSession, d: str, *want: str) -> DataFrame:
+    """The files parsed, with the lists that the query wants of the reader."""
+    return code.parsed(files(spark, d), want)
+
+
+def lang(name: str, part: str, what):
     """Only the language's files are parsed."""
-    return lambda s, d: what(code.parsed(code.sources(made.tree(s, d)).where(f"lang = '{name}'")))
+    return lambda s, d: what(code.parsed(files(s, d).where(f"lang = '{name}'"), (part,)))
 
 
 CLASS_COLUMNS = ["file_path", "class_name", "field_count", "method_count", "behavior_method_count", "dunder_method_count", "property_count", "dbsi", "logic_density", "orchestration_pressure", "ams"]
 FUNCTION_COLUMNS = ["file_path", "function_name", "class_name", "length", "cyclomatic_complexity", "max_nesting_depth", "branch_count", "exception_paths", "cognitive_complexity"]
 
 QUERIES = {
-    "list_sources": lambda s, d: code.sources(made.tree(s, d)).select("file_path", "lang").orderBy("file_path"),
+    "list_sources": lambda s, d: files(s, d).select("file_path", "lang").orderBy("file_path"),
     "sources_union": lambda s, d: read(s, d).select("file_path", "lang", "readable"),
-    "py_functions": lang("python", lambda r: code.functions(r).select(*FUNCTION_COLUMNS)),
-    "java_functions": lang("java", lambda r: code.functions(r).select(*FUNCTION_COLUMNS)),
-    "py_classes": lang("python", lambda r: code.classes(r).select(*CLASS_COLUMNS)),
-    "java_classes": lang("java", lambda r: code.classes(r).select(*CLASS_COLUMNS)),
-    "file_complexity": lambda s, d: code.file_complexity(code.functions(read(s, d))),
-    "complexity_report": lambda s, d: code.complexity_report(code.functions(read(s, d))),
-    "complexity_high": lambda s, d: code.functions(read(s, d)).where("cyclomatic_complexity > 6").select("file_path", "function_name", "cyclomatic_complexity"),
-    "touch_counts": lambda s, d: code.touch_counts(read(s, d)),
-    "anemic_files": lambda s, d: code.anemic_files(read(s, d)),
-    "anemic_report": lambda s, d: code.anemic_report(read(s, d)),
-    "god_class_raw": lambda s, d: code.god_classes(read(s, d)).drop("god_class_score"),
-    "tcc": lambda s, d: code.god_classes(read(s, d)).select("file_path", "class_name", "cohesion"),
-    "god_classes": lambda s, d: code.god_classes(read(s, d)),
-    "top_god_classes": lambda s, d: code.god_classes(read(s, d)).orderBy("god_class_score", "file_path", ascending=[False, True]).limit(20),
-    "god_class_files": lambda s, d: code.god_class_files(code.god_classes(read(s, d))),
-    "god_class_report": lambda s, d: code.god_class_report(r := read(s, d), code.god_classes(r)),
+    "py_functions": lang("python", "functions", lambda r: code.functions(r).select(*FUNCTION_COLUMNS)),
+    "java_functions": lang("java", "functions", lambda r: code.functions(r).select(*FUNCTION_COLUMNS)),
+    "py_classes": lang("python", "classes", lambda r: code.classes(r).select(*CLASS_COLUMNS)),
+    "java_classes": lang("java", "classes", lambda r: code.classes(r).select(*CLASS_COLUMNS)),
+    "file_complexity": lambda s, d: code.file_complexity(code.functions(read(s, d, "functions"))),
+    "complexity_report": lambda s, d: code.complexity_report(code.functions(read(s, d, "functions"))),
+    "complexity_high": lambda s, d: code.functions(read(s, d, "functions")).where("cyclomatic_complexity > 6").select("file_path", "function_name", "cyclomatic_complexity"),
+    "touch_counts": lambda s, d: code.touch_counts(read(s, d, "imports")),
+    "anemic_files": lambda s, d: code.anemic_files(read(s, d, "classes", "imports")),
+    "anemic_report": lambda s, d: code.anemic_report(read(s, d, "classes"), files=files(s, d)),
+    "god_class_raw": lambda s, d: code.class_sizes(read(s, d, "classes")),
+    "tcc": lambda s, d: code.god_classes(read(s, d, "classes")).select("file_path", "class_name", "cohesion"),
+    "god_classes": lambda s, d: code.god_classes(read(s, d, "classes")),
+    "top_god_classes": lambda s, d: code.god_classes(read(s, d, "classes")).orderBy("god_class_score", "file_path", ascending=[False, True]).limit(20),
+    "god_class_files": lambda s, d: code.god_class_files(code.god_classes(read(s, d, "classes"))),
+    "god_class_report": lambda s, d: code.god_class_report(r := read(s, d, "classes"), code.god_classes(r)),
 }
 
 # Python: run() has s%7 ifs and s%3 loops; Item has 1 + s%5 fields, s%4 acting and s%6 reading methods.

@@ -10,8 +10,10 @@ from .star import read
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_path and source: a Python file a part, and a Java file for every third."""
+    """file_path and source: a Python file a part, and a Java file for every third. Parts are dealt out
+    before they become text, as millions of them are one split of a Parquet file."""
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("int").alias("s"))
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     k, s = F.col("k").cast("string"), F.col("s")
     times = lambda n, text: F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i > 0, F.replace(F.lit(text), F.lit("#"), i.cast("string"))).otherwise("")), "")
     python = F.concat(
