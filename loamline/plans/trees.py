@@ -40,7 +40,7 @@ QUERIES = {
     "anemic_files": lambda s, d: code.anemic_files(read(s, d, "classes", "imports")),
     "anemic_report": lambda s, d: code.anemic_report(read(s, d, "classes"), files=files(s, d)),
     "god_class_raw": lambda s, d: code.class_sizes(read(s, d, "classes")),
-    "tcc": lambda s, d: code.god_classes(read(s, d, "classes")).select("file_path", "class_name", "cohesion"),
+    "tcc": lambda s, d: code.class_sizes(read(s, d, "classes")).select("file_path", "class_name", "cohesion"),
     "god_classes": lambda s, d: code.god_classes(read(s, d, "classes")),
     "top_god_classes": lambda s, d: code.god_classes(read(s, d, "classes")).orderBy("god_class_score", "file_path", ascending=[False, True]).limit(20),
     "god_class_files": lambda s, d: code.god_class_files(code.god_classes(read(s, d, "classes"))),
