@@ -44,7 +44,7 @@ QUERIES = {
     "god_classes": lambda s, d: code.god_classes(read(s, d, "classes")),
     "top_god_classes": lambda s, d: code.god_classes(read(s, d, "classes")).orderBy("god_class_score", "file_path", ascending=[False, True]).limit(20),
     "god_class_files": lambda s, d: code.god_class_files(code.god_classes(read(s, d, "classes"))),
-    "god_class_report": lambda s, d: code.god_class_report(r := read(s, d, "classes"), code.god_classes(r)),
+    "god_class_report": lambda s, d: code.god_class_report(files(s, d), code.god_classes(read(s, d, "classes"))),
 }
 
 # Python: run() has s%7 ifs and s%3 loops; Item has 1 + s%5 fields, s%4 acting and s%6 reading methods.
