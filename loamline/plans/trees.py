@@ -36,7 +36,7 @@ QUERIES = {
     "file_complexity": lambda s, d: code.file_complexity(code.functions(read(s, d, "functions"))),
     "complexity_report": lambda s, d: code.complexity_report(code.functions(read(s, d, "functions"))),
     "complexity_high": lambda s, d: code.functions(read(s, d, "functions")).where("cyclomatic_complexity > 6").select("file_path", "function_name", "cyclomatic_complexity"),
-    "touch_counts": lambda s, d: code.touch_counts(read(s, d, "imports")),
+    "touch_counts": lambda s, d: code.touch_counts(read(s, d, "imports"), files(s, d)),
     "anemic_files": lambda s, d: code.anemic_files(read(s, d, "classes", "imports"), files=files(s, d)),
     "anemic_report": lambda s, d: code.anemic_report(read(s, d, "classes"), files=files(s, d)),
     "god_class_raw": lambda s, d: code.class_sizes(read(s, d, "classes")),

@@ -15,12 +15,12 @@ def readings(frame) -> int:
     return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("MapInArrow")
 
 
-@pytest.mark.parametrize("name", ["god_class_raw", "tcc", "god_class_report", "god_class_files", "anemic_files", "anemic_report"])
+@pytest.mark.parametrize("name", ["god_class_raw", "tcc", "god_class_report", "god_class_files", "anemic_files", "anemic_report", "touch_counts"])
 def test_files_are_parsed_once(spark, sf_dir, name):
     assert readings(trees.QUERIES[name](spark, sf_dir)) == 1
 
 
-@pytest.mark.parametrize("name", ["god_class_raw", "tcc", "god_class_report", "god_class_files", "anemic_report"])
+@pytest.mark.parametrize("name", ["god_class_raw", "tcc", "god_class_report", "god_class_files", "anemic_report", "touch_counts"])
 def test_same_rows_as_sql(spark, sf_dir, name):
     test_oracles.test_same_rows(spark, sf_dir, name)
 
