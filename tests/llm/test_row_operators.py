@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loamline.llm import graph, media, mixing, simhash, urls
 
@@ -235,6 +236,21 @@ def test_true_pairs_among_relatives(spark, wide, monkeypatch):
     assert wide < 512 or groups_of(spark, texts) == want
 
 
+def test_near_copies_meet_in_the_tables_of_fingerprints(spark, monkeypatch):
+    """With nothing met by shingles first, the pairs to decide are those that brute force finds within four bits."""
+    texts = [t for i in range(60) for t in versions(i, 0.97, 400)[:2]] + [prose(900 + i, 50) for i in range(40)]
+    sets = [simhash.shingles(t) for t in texts]
+    prints = [int.from_bytes(np.packbits(simhash.ones_of(h.view(np.uint64)) * 2 > len(h)).tobytes(), "big") for h in sets]
+    pair = lambda i, j: tuple(sorted((simhash._node(sets[i]), simhash._node(sets[j])), reverse=True))
+    want = {pair(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (prints[i] ^ prints[j]).bit_count() <= 4}
+    asked, decided = [], simhash._decided
+    monkeypatch.setattr(simhash, "_closest", lambda members: members.select(F.col("own.node").alias("x"), F.col("own.node").alias("y")).limit(0))
+    monkeypatch.setattr(simhash, "_decided", lambda pairs, *rest: asked.extend((bytes(r["x"]), bytes(r["y"])) for r in pairs.collect()) or decided(pairs, *rest))
+    got = groups_of(spark, texts)
+    assert set(asked) == want and len(want) > 20
+    assert all(got[2 * i + 1] == 2 * i for i in range(60))
+
+
 def test_a_passage_that_all_texts_share(spark):
     """Its keys are crowded; the pairs of near copies among its texts are found by their other shingles."""
     passage, texts = prose(1, 60), []
