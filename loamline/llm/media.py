@@ -136,19 +136,54 @@ _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 DISC = (_X**2 + _Y**2 <= RADIUS**2).astype(np.float32)
 
 
+#: Pixels of images of one width that are looked at together; a larger image is alone.
+TILE = 1 << 16
+
+
 def corners(image: np.ndarray | None) -> tuple[np.ndarray, ...]:
     """(scale, x, y, turn, descriptor as four unsigned words) of all corners."""
+    return corners_of([image])[0]
+
+
+def corners_of(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, ...]]:
+    """corners() of each image. Images of one width stand below each other, so far apart that none is in
+    the reach of another, and are looked at in one pass of array operations."""
+    none = (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, 4), np.int64))
+    out, tiles = [none] * len(images), {}
+    for k, image in enumerate(images):
+        if image is not None and min(image.shape) >= 1:
+            of_width = tiles.setdefault(image.shape[1], [[]])
+            if of_width[-1] and sum(images[i].shape[0] + RADIUS for i in of_width[-1]) * image.shape[1] >= TILE:
+                of_width.append([])
+            of_width[-1].append(k)
+    for tile in (tile for of_width in tiles.values() for tile in of_width):
+        owner, *found = _tile_corners([images[k] for k in tile])
+        order = np.argsort(owner, kind="stable")
+        ends = np.cumsum(np.bincount(owner, minlength=len(tile)))[:-1]
+        for k, *parts in zip(tile, *(np.split(f[order], ends) for f in found), strict=True):
+            out[k] = tuple(parts)
+    return out
+
+
+def _tile_corners(images: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(number of the image, scale, x, y, turn, words) of all corners of images of one width, scale by scale."""
     found = []
-    scale = 0
+    numbers, heights = np.arange(len(images)), np.array([len(image) for image in images])
     # Doubles hold all sums of these quarters exactly, so a patch gives the same wherever it stands.
-    image = None if image is None else np.floor(image).astype(np.float64)
-    while image is not None and scale < SCALES and min(image.shape) >= 1:
-        p = _framed(image, 1, 0.0)
-        p[0], p[-1] = p[1], p[-2]
-        p[:, 0], p[:, -1] = p[:, 1], p[:, -2]
-        dx, dy = (p[1:-1, 2:] - p[1:-1, :-2]) / 2, (p[2:, 1:-1] - p[:-2, 1:-1]) / 2
+    lines = np.floor(np.concatenate(images)).astype(np.float64)
+    for scale in range(SCALES):
+        first = np.cumsum(heights + RADIUS) - heights
+        at = np.repeat(first - np.cumsum(heights) + heights, heights) + np.arange(len(lines))
+        image = np.full((int(first[-1] + heights[-1]), lines.shape[1]), 128.0)
+        image[at] = lines
+        of, above, below = np.full(len(image), -1), np.arange(len(image)), np.arange(len(image))
+        of[at] = np.repeat(np.arange(len(heights)), heights)
+        above[at], below[at] = np.maximum(at - 1, np.repeat(first, heights)), np.minimum(at + 1, np.repeat(first + heights - 1, heights))
+        p = np.concatenate((image[:, :1], image, image[:, -1:]), 1)
+        dx, dy = (p[:, 2:] - p[:, :-2]) / 2, (image[below] - image[above]) / 2
         xx, yy, xy = _sums(dx * dx), _sums(dy * dy), _sums(dx * dy)
         response = xx * yy - xy * xy - 0.0625 * (xx + yy) ** 2
+        response[of < 0] = -np.inf
         y, x = np.nonzero((response >= _peak(response, 3)) & (response > LEAST_RESPONSE))
         if len(y):
             p = _framed(image, RADIUS, 128.0)
@@ -158,53 +193,63 @@ def corners(image: np.ndarray | None) -> tuple[np.ndarray, ...]:
             rows = np.arange(len(y))[:, None]
             bits = patch[rows, a[..., 1], a[..., 0]] < patch[rows, b[..., 1], b[..., 0]]
             words = np.packbits(bits, axis=1).view(">u4").astype(np.int64)
-            found.append((np.full(len(y), scale), x, y, turn, words))
-        if min(image.shape) < 2:
+            found.append((numbers[of[y]], np.full(len(y), scale), x, y - first[of[y]], turn, words))
+        # Halves: an odd last line or column has none.
+        left, w = heights >= 2, lines.shape[1] // 2 * 2
+        if not left.any() or not w:
             break
-        h, w = image.shape[0] // 2 * 2, image.shape[1] // 2 * 2
-        image = (image[0:h:2, 0:w:2] + image[1:h:2, 0:w:2] + image[0:h:2, 1:w:2] + image[1:h:2, 1:w:2]) / 4
-        scale += 1
+        top = np.repeat(np.cumsum(heights) - heights, heights // 2)
+        numbers, heights = numbers[left], heights[left] // 2
+        top = top + 2 * (np.arange(len(top)) - np.repeat(np.cumsum(heights) - heights, heights))
+        lines = (lines[top, 0:w:2] + lines[top + 1, 0:w:2] + lines[top, 1:w:2] + lines[top + 1, 1:w:2]) / 4
     if not found:
-        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, 4), np.int64))
-    return tuple(np.concatenate([f[k] for f in found]) for k in range(5))
+        return (*(np.zeros(0, np.int64) for _ in range(5)), np.zeros((0, 4), np.int64))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(6))
 
 
 #: Bits of a packed place: turn, x and y; the scale is above them.
 TURN_BITS, SIDE_BITS = 4, 24
+#: Bits of a key: a table and its word.
+KEY_BITS = 34
 #: A corner as it is kept: its packed place and its four words.
 CORNER = np.dtype([("place", "<i8"), ("words", "<u4", 4)])
 #: Images of a key that all others meet first, and how many of those met most are decided.
 HUBS, MOST_MET = 4, 2
 #: Images of a block that is compared at once.
 BLOCK = 1024
+#: Rows of a key up to which they are compared with each other before anything else.
+FEW = 256
 #: Corners of the groups that are read together, and corner pairs that are looked at together.
 TOGETHER, PAIRS = 1 << 16, 1 << 15
 
 
 def _corner_lists(batches):
-    """Per image its digest and its corners; an image that the task lately had is left out."""
+    """Rows of (id, digest, shown, image) with the image's corners in its place; they are null for an image
+    without any or that the task lately had, and where there is no id."""
     seen = set()
     for batch in batches:
         for i in range(0, batch.num_rows, 128):
-            digests, lists = [], []
-            for digest, raw in zip(*(batch.column(k).slice(i, 128).to_pylist() for k in range(2)), strict=True):
-                if digest in seen:
-                    continue
-                if len(seen) >= 1 << 16:
-                    seen.clear()
-                seen.add(digest)
-                scale, x, y, turn, words = corners(decode(raw))
+            part = batch.slice(i, 128)
+            digests, raws = part.column(1).to_pylist(), part.column(3).to_pylist()
+            fresh, lists = [], [None] * part.num_rows
+            for k, known in enumerate(part.column(0).is_valid().to_pylist()):
+                if known and raws[k] and digests[k] not in seen:
+                    if len(seen) >= 1 << 16:
+                        seen.clear()
+                    seen.add(digests[k])
+                    fresh.append(k)
+            for k, (scale, x, y, turn, words) in zip(fresh, corners_of([decode(raws[k]) for k in fresh]), strict=True):
                 if len(scale):
                     held = np.zeros(len(scale), CORNER)
                     held["place"] = (((scale << SIDE_BITS | x) << SIDE_BITS | y) << TURN_BITS) | turn
                     held["words"] = words
-                    digests.append(digest)
-                    lists.append(held.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(lists, pa.binary())], names=["digest", "corners"])
+                    lists[k] = held.tobytes()
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(lists, pa.binary())], names=["id", "digest", "shown", "corners"])
 
 
-def _words(batches):
+def _words(batches, tables=range(4)):
     """A row a corner and table: the table and its word in one number, the image, the corner's number."""
+    tables = np.array(tables)
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             nodes = batch.column(0).slice(i, 1024).to_numpy()
@@ -212,9 +257,72 @@ def _words(batches):
             if not lists:
                 continue
             counts = [len(held) for held in lists]
-            words = np.concatenate(lists)["words"].astype(np.int64) | np.arange(4) << 32
+            words = np.concatenate(lists)["words"][:, tables].astype(np.int64) | tables << 32
             spot = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
-            yield pa.RecordBatch.from_arrays([pa.array(words.ravel()), pa.array(np.repeat(np.repeat(nodes, counts), 4)), pa.array(np.repeat(spot, 4))], names=["key", "node", "spot"])
+            yield pa.RecordBatch.from_arrays([pa.array(words.ravel()), pa.array(np.repeat(np.repeat(nodes, counts), len(tables))), pa.array(np.repeat(spot, len(tables)))], names=["key", "node", "spot"])
+
+
+def _kept_corners(batches):
+    """Rows of (node, digest, corners, spots) with only the corners of these numbers, in order."""
+    for batch in batches:
+        lists = []
+        for raw, spots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            lists.append(np.frombuffer(raw, CORNER)[np.unique(np.array(spots, np.int64))].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.binary()), *batch.columns[4:]], names=[n for n in batch.schema.names if n != "spots"])
+
+
+def _entries(batches):
+    """Rows of (node, corners, entries) as a row an entry, with its corner's descriptor in two numbers. An entry is, from
+    its low bits up, a key, whether it is one of few rows, and the corner's number; it becomes its place among those left."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            part = batch.slice(i, 1024)
+            nodes, words = part.column(0).to_numpy(), []
+            counts, entries = part.column(2).value_lengths().to_numpy(), part.column(2).flatten().to_numpy()
+            spot, at = (entries >> (KEY_BITS + 1)).astype(np.int32), 0
+            for raw, n in zip(part.column(1).to_pylist(), counts.tolist(), strict=True):
+                spot[at : at + n] = np.unique(spot[at : at + n], return_inverse=True)[1]
+                words.append(np.frombuffer(raw, CORNER)["words"][spot[at : at + n]])
+                at += n
+            if at:
+                halves = np.ascontiguousarray(np.concatenate(words)).view("<i8")
+                key, few = entries & ((1 << KEY_BITS) - 1), (entries >> KEY_BITS & 1).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key, np.repeat(nodes, counts), spot, few, halves[:, 0].copy(), halves[:, 1].copy())], names=["key", "node", "spot", "few", "one", "two"])
+
+
+def _near(key: np.ndarray, node: np.ndarray, few: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether a corner of another image with the same key differs in at most APART bits, for rows in order of the
+    key; true where the key isn't one of few rows."""
+    near, at, d = ~few, np.flatnonzero(few), 0
+    one, two = one.view(np.uint64), two.view(np.uint64)  # of a signed number the bits of its absolute value would count
+    while len(at):
+        d += 1
+        at = at[at + d < len(key)]
+        at = at[key[at] == key[at + d]]
+        other = at + d
+        close = at[(np.bitwise_count(one[at] ^ one[other]) + np.bitwise_count(two[at] ^ two[other]) <= APART) & (node[at] != node[other])]
+        near[close] = near[close + d] = True
+    return near
+
+
+def _near_rows(batches):
+    """The rows (key, node, spot) of _near() of rows in order of the key."""
+    held = None
+
+    def of(part):
+        near = _near(part[0], part[1], *part[3:])
+        return pa.RecordBatch.from_arrays([pa.array(v[near]) for v in part[:3]], names=["key", "node", "spot"])
+
+    for batch in batches:
+        part = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+        part = part if held is None else [np.concatenate(both) for both in zip(held, part, strict=True)]
+        if len(part[0]):
+            # The last key may go on in the next batch.
+            end = int(np.searchsorted(part[0], part[0][-1])) if part[3][-1] else len(part[0])
+            held = [v[end:] for v in part]
+            yield of([v[:end] for v in part])
+    if held is not None:
+        yield of(held)
 
 
 def _shared(groups: np.ndarray, label: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -313,6 +421,11 @@ def linked(groups: list[int], parts: list[int], lists: list[np.ndarray]) -> tupl
         if not len(p):
             continue
         step, turned = scale[q] - scale[p], (turn[q] - turn[p]) % TURNS
+        _, which, n = np.unique((pair * (2 * SCALES) + step + SCALES) * TURNS + turned, return_inverse=True, return_counts=True)
+        often = n[which] >= LEAST_VOTES
+        p, q, pair, step, turned = p[often], q[often], pair[often], step[often], turned[often]
+        if not len(p):
+            continue
         angle, size = turned * (2 * np.pi / TURNS), 2.0**step
         sx = x[q] - size * (x[p] * np.cos(angle) - y[p] * np.sin(angle))
         sy = y[q] - size * (x[p] * np.sin(angle) + y[p] * np.cos(angle))
@@ -398,12 +511,13 @@ def _other_links(members: DataFrame, parts: DataFrame, images: DataFrame) -> Dat
     LEAST_VOTES corners whose keys another part has too can be linked, and share one of their rarer keys; of
     keys with the same such members one is enough. A key of more than BLOCK images is cut into blocks, each of which meets each."""
     rows = members.join(parts.toDF("of", "part"), F.col("node") == F.col("of"), "left").select("key", "node", "spot", F.coalesce("part", "node").alias("part"))
-    for _ in range(3):  # each time, what went may leave others with too little
-        mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-        rows = cut(rows.join(mixed, "key", "left_semi"))
-        enough = rows.select("node", "spot").distinct().groupBy("node").count().where(F.col("count") >= LEAST_VOTES).select("node")
-        rows = cut(rows.join(enough, "node", "left_semi"))
-    placed = _rarest(rows).select("key", "node", "part").distinct()
+    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    shared = cut(rows.join(mixed, "key", "left_semi"))
+    enough = shared.select("node", "spot").distinct().groupBy("node").count().where(F.col("count") >= LEAST_VOTES).select("node")
+    rows = cut(shared.join(enough, "node", "left_semi"))
+    drop(shared)
+    placed = cut(_rarest(rows).select("key", "node", "part").distinct())
+    drop(rows)
     mark = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("members"), mark(0).alias("one"), mark(1).alias("two"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
     kept = sizes.groupBy("members", "one", "two").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / BLOCK).alias("n"))
@@ -413,7 +527,39 @@ def _other_links(members: DataFrame, parts: DataFrame, images: DataFrame) -> Dat
     named = dealt.select("key", F.explode(meets).alias("at"), F.col("node").alias("of"), "part")
     held = named.join(images.select("node", "corners"), F.col("of") == F.col("node")).select("key", "at.i", "at.j", "node", "part", "corners")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(held.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_groups, "a long, b long"))
+    out = cut(held.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_groups, "a long, b long"))
+    drop(placed)
+    return out
+
+
+def _with_near_corners(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, spot) of corners that have the word in common with one of another image that differs in at most
+    APART bits, and (node, digest, corners) of images with LEAST_VOTES such corners, which alone can be linked, with
+    these corners. A word alone says little in a large corpus, where many that share it are not close. All rows of
+    words of more than FEW rows stay."""
+    found = []
+    for tables in ((0, 1), (2, 3)):  # half at a time, for what lies on disk at once
+        keyed = images.select("node", "corners").mapInArrow(lambda batches, tables=tables: _words(batches, tables), "key long, node long, spot int")
+        # Most words are one image's alone; they are counted before anything else of them moves.
+        counts = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
+        shared = cut(counts.select("key", (F.col("n") <= FEW).cast("long").alias("few")))
+        found.append(cut(keyed.join(shared, "key")))
+        drop(shared)
+    entry = F.shiftleft(F.col("spot").cast("long"), KEY_BITS + 1).bitwiseOR(F.shiftleft("few", KEY_BITS)).bitwiseOR(F.col("key"))
+    entries = found[0].unionByName(found[1]).select(F.col("node").alias("of"), entry.alias("entry")).groupBy("of").agg(F.collect_list("entry").alias("entries"))
+    entries = entries.withColumn("spots", F.array_distinct(F.transform("entries", lambda e: F.shiftright(e, KEY_BITS + 1)))).where(F.size("spots") >= LEAST_VOTES)
+    kept = images.join(entries, F.col("node") == F.col("of")).select("node", "digest", "corners", "spots", "entries")
+    some = cut(kept.mapInArrow(_kept_corners, "node long, digest binary, corners binary, entries array<long>"))
+    drop(*found, images)
+    rows = some.select("node", "corners", "entries").mapInArrow(_entries, "key long, node long, spot int, few boolean, one long, two long")
+    n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "key", F.when(~F.col("few"), F.col("node"))).sortWithinPartitions("key")
+    near = cut(dealt.mapInArrow(_near_rows, "key long, node long, spot int"))
+    spots = near.groupBy(F.col("node").alias("of")).agg(F.collect_set("spot").alias("spots")).where(F.size("spots") >= LEAST_VOTES)
+    left = some.select("node", "digest", "corners").join(spots, F.col("node") == F.col("of")).select("node", "digest", "corners", "spots")
+    left = cut(left.mapInArrow(_kept_corners, "node long, digest binary, corners binary"))
+    drop(some)
+    return near, left
 
 
 def image_copies(media: DataFrame, id_col: str = "doc_id", image_col: str = "image") -> DataFrame:
@@ -426,20 +572,19 @@ def image_copies(media: DataFrame, id_col: str = "doc_id", image_col: str = "ima
     result; extra columns are left out.
     """
     rows = pick(media, id=id_col, image=image_col)
-    digests = cut(rows.select("id", F.unhex(F.sha2("image", 256)).alias("digest"), (F.octet_length("image") > 0).alias("shown")))
-    read = rows.where("id is not null and octet_length(image) > 0").select(F.unhex(F.sha2("image", 256)).alias("digest"), "image")
-    once = read.mapInArrow(_corner_lists, "digest binary, corners binary").groupBy("digest").agg(F.first("corners").alias("corners"))
+    shown = rows.select("id", F.unhex(F.sha2("image", 256)).alias("digest"), (F.octet_length("image") > 0).alias("shown"), "image")
+    # An image is read once, for its digest and its corners.
+    read = cut(shown.mapInArrow(_corner_lists, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, shown boolean, corners binary"))
+    once = read.where("corners is not null").groupBy("digest").agg(F.first("corners").alias("corners"))
     images = cut(once.withColumn("node", F.monotonically_increasing_id()))
-    keyed = images.select("node", "corners").mapInArrow(_words, "key long, node long, spot int")
-    # Most words are one image's alone; they are counted before anything else of them moves.
-    shared = cut(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key"))
-    members = cut(keyed.join(shared, "key", "left_semi"))
-    drop(shared)
+    digests = cut(read.select("id", "digest", "shown"))
+    drop(read)
+    members, images = _with_near_corners(images)
     first = _first_links(members, images)
     parts = cut(connected_components(first))
     parts = cut(connected_components(first.unionByName(_other_links(members, parts, images))))
-    known = images.select("digest", "node").join(parts.toDF("of", "part"), F.col("node") == F.col("of"), "left").select(F.col("digest").alias("d"), F.coalesce("part", "node").alias("part"))
-    # Images alike in every byte that have no corners are a part of their own, told by the digest.
+    known = images.select("digest", "node").join(parts.toDF("of", "part"), F.col("node") == F.col("of")).select(F.col("digest").alias("d"), "part")
+    # Images alike in every byte that are linked to no other are a part of their own, told by the digest.
     whole = digests.where("id is not null and shown").join(known, F.col("digest") == F.col("d"), "left").groupBy("digest").agg(F.first("part").alias("part"), F.min("id").cast("long").alias("first"), F.count("*").alias("n"))
     group = cut(whole.withColumn("part", F.coalesce(F.col("part").cast("string"), F.hex("digest"))))
     lowest = group.groupBy("part").agg(F.min("first").alias("component_id"), F.sum("n").alias("n_images"))
@@ -459,9 +604,10 @@ def drawn(text: str | None) -> bytes:
     row, excerpts are crops."""
     rows = []
     for line in (text or "").split("\n"):
-        words = line.split()
-        for at in range(0, len(words), WIDTH):
-            rows.append(bytes(zlib.crc32(w.encode("utf-8", "surrogatepass")) >> 24 for w in words[at : at + WIDTH]).ljust(WIDTH, b"\x80"))
+        # No word holds a newline, so all of a line's are encoded at once.
+        words = "\n".join(line.split()).encode("utf-8", "surrogatepass").split(b"\n") if line else []
+        grays = bytes(zlib.crc32(w) >> 24 for w in words) if words != [b""] else b""
+        rows += [grays[at : at + WIDTH].ljust(WIDTH, b"\x80") for at in range(0, len(grays), WIDTH)]
     return b"P5 %d %d 255\n" % (WIDTH, len(rows)) + b"".join(rows) if rows else b""
 
 

@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -469,3 +470,29 @@ def test_linked_images_of_nothing_shared():
     lists = [_corners_of(" ".join(f"{k}x{n}" for n in range(400))) for k in range(3)]
     assert media.linked([0, 0, 0], [0, 1, 2], lists) == ([], [])
     assert media.linked([0, 1], [0, 1], [lists[0], lists[0]]) == ([], [])
+
+
+def test_corners_of_many_images_are_those_of_each():
+    """Images that are looked at together, of few lines, odd sides and no corners, against each alone."""
+    rng = np.random.default_rng(11)
+    images = [rng.integers(0, 256, (int(h), int(w))).astype(np.float32) for h, w in zip(rng.integers(1, 30, 80), rng.integers(1, 6, 80) * 7 - 6, strict=True)]
+    images += [None, np.zeros((0, 5), np.float32), np.full((9, 8), 128.0), *(blocky(rng) for _ in range(60))]
+    together = media.corners_of(images)
+    assert len(together) == len(images) and sum(len(found[0]) for found in together) > 1000
+    for image, found in zip(images, together, strict=True):
+        assert all(one.shape == other.shape and (one == other).all() for one, other in zip(media.corners(image), found, strict=True))
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_rows_of_words_without_close_corners_go(size):
+    """All pairs of rows of each key, whatever batches they come in; rows of keys that aren't few stay."""
+    rng = np.random.default_rng(size)
+    key, node = np.sort(rng.integers(0, 60, 400)), rng.integers(0, 9, 400)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, (4, 2))
+    halves = base[rng.integers(0, 4, 400)] ^ (1 << rng.integers(0, 63, (400, 2))) ^ np.where(rng.random((400, 2)) < 0.5, rng.integers(0, 1 << 12, (400, 2)), 0)
+    few = key % 7 != 0
+    rows = pa.RecordBatch.from_arrays([pa.array(v) for v in (key, node, np.arange(400, dtype=np.int32), few, halves[:, 0].copy(), halves[:, 1].copy())], names=["key", "node", "spot", "few", "one", "two"])
+    bits = lambda i, j: sum((int(a) ^ int(b)).__and__((1 << 64) - 1).bit_count() for a, b in zip(halves[i], halves[j], strict=True))
+    want = [i for i in range(400) if not few[i] or any(key[i] == key[j] and node[i] != node[j] and bits(i, j) <= media.APART for j in range(400))]
+    got = [i for batch in media._near_rows(rows.slice(at, size) for at in range(0, 400, size)) for i in batch.column(2).to_pylist()]
+    assert got == want and 100 < len(want) < 380
